@@ -1,0 +1,53 @@
+import random
+import re
+
+from millrace.llm import decontaminate
+from tests.llm.samples import ODD, documents, noise
+
+
+def brute(text, items, window=10):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit, found = split(text), set(), set()
+    for item, t in items:
+        p = split(t)
+        m = min(window, len(p))
+        for i in range(len(p) - m + 1 if m else 0):
+            for j in range(len(w) - m + 1):
+                if w[j : j + m] == p[i : i + m]:
+                    hit.update(range(j, j + m))
+                    found.add(item)
+    return len(w), len(hit), sorted(x for x in found if x is not None)
+
+
+def cases():
+    rng = random.Random(3)
+    letters = ["aa", "b", "\u00e9", "d4"]
+    items = [(i, " ".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 3, 5, 10, 11, 14])))) for i in range(10, 30)]
+    items += [(99, None), (None, "q w e r t y u i o p"), (7, "!!!"), (8, items[3][1]), (8, items[3][1])]
+    texts = [*ODD, *noise(4, 10), *(" ".join(rng.choice(letters) for _ in range(60)) for _ in range(30)), "x q w E r t y u i o p x"]
+    texts += ["-".join(["Z"] * 5 + (items[5][1] or "").split() + ["Z"] * 5), "aa " * 300]
+    return texts, items
+
+
+def check(spark, **options):
+    texts, items = cases()
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontaminate.scan(documents(spark, texts), bench, **options).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_words, r.n_hit, r.item_ids) == brute(r.text, items), r.text
+        assert r.contaminated == (r.n_hit > 0)
+
+
+def test_equals_plain_search(spark):
+    check(spark)
+
+
+def test_benchmark_in_several_blocks(spark):
+    check(spark, block_chars=60)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    assert [r.contaminated for r in decontaminate.scan(documents(spark, ["a b", None]), none).collect()] == [False, False]
+    assert decontaminate.scan(documents(spark, []), none).count() == 0
