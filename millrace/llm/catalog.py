@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, decontaminate, secret_scan
+from millrace.llm import byte_bpe, decontaminate, secret_scan, token_store
 from millrace.llm.common import table, text_or_empty
 from millrace.llm.digests import count_kind, joined_spans, sha
 
@@ -47,5 +47,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_secrets, op8_decontamination)}
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path(token_store.VOCABULARY))
+    return token_store.read(spark, store)
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_secrets, op8_decontamination, op9_token_store)}
 ORACLES: dict[str, str] = {}
