@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, decontaminate, secret_scan, token_store
+from millrace.llm import byte_bpe, decontaminate, secret_scan, simhash, token_store
 from millrace.llm.common import table, text_or_empty
 from millrace.llm.digests import count_kind, joined_spans, sha
 
@@ -23,6 +23,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = text_or_empty(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     base = secret_scan.KINDS[: secret_scan.BASE]
@@ -52,5 +56,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, store)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_secrets, op8_decontamination, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op5_secrets, op8_decontamination, op9_token_store)}
 ORACLES: dict[str, str] = {}
