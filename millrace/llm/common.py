@@ -46,7 +46,9 @@ def slices(batch: pa.RecordBatch, at: int, most: int = SLICE_BYTES) -> Iterator[
     if column.nbytes <= most:
         yield batch
         return
-    sizes = pa.compute.binary_length(column).fill_null(0).to_pylist()
+    lengths = pa.compute.list_value_length(column) if pa.types.is_list(column.type) else pa.compute.binary_length(column)
+    each = 8 if pa.types.is_list(column.type) else 1
+    sizes = [n * each for n in lengths.fill_null(0).to_pylist()]
     begin = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > most:
