@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, decontaminate, secret_scan, simhash, token_store
+from millrace.llm import byte_bpe, decontaminate, secret_scan, sharding, simhash, token_store
 from millrace.llm.common import table, text_or_empty
 from millrace.llm.digests import count_kind, joined_spans, sha
 
@@ -38,6 +38,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.array_join(F.sort_array(F.col("item_ids").cast("array<string>")), ",")
@@ -56,5 +62,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, store)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op5_secrets, op8_decontamination, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op5_secrets, op7_shards, op8_decontamination, op9_token_store)}
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,70 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+
+from millrace.llm import sharding
+from tests.llm.samples import ODD, documents, noise
+
+
+def verify(rows, texts_by_id=None, shards=24):
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        assert 0 <= r.shard < shards
+    for s in slots.values():
+        assert sorted(s) == list(range(len(s)))
+
+
+def test_near_equal_bytes_and_whole_groups(spark):
+    texts = [*ODD, *noise(11, 700, 120), *noise(11, 40, 120)]
+    rows = sharding.shard(documents(spark, texts), shards=6).collect()
+    assert len(rows) == len(texts)
+    verify(rows, shards=6)
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(data) + 8, zlib.crc32(data))
+    total = defaultdict(int)
+    for r in rows:
+        total[r.shard] += r.size
+    even = sum(total.values()) / 6
+    assert max(abs(total[i] - even) for i in range(6)) <= 0.06 * even + 700
+    where = defaultdict(set)
+    for r in rows:
+        where[texts[r.doc_id] or ""].add(r.shard)
+    assert sum(len(x) > 1 for x in where.values()) <= 1
+
+
+def test_a_group_of_most_rows_is_split(spark):
+    texts = ["same text here"] * 600 + noise(12, 300, 20)
+    rows = sharding.shard(documents(spark, texts).repartition(5), shards=8, range_rows=40).collect()
+    verify(rows, shards=8)
+    total = defaultdict(int)
+    for r in rows:
+        total[r.shard] += r.size
+    even = sum(total.values()) / 8
+    assert len(rows) == 900 and max(abs(total[i] - even) for i in range(8)) <= 0.08 * even + 150
+
+
+def test_repeated_rows_null_ids_empty_tables_and_few_rows(spark):
+    docs = spark.createDataFrame([(None, "x")] * 40 + [(5, None)] * 3 + [(5, "y")], "doc_id bigint, text string")
+    rows = sharding.shard(docs, shards=4).collect()
+    assert len(rows) == 44
+    verify(rows, shards=4)
+    assert sharding.shard(docs.limit(0)).count() == 0
+    assert len(sharding.shard(docs.limit(3)).collect()) == 3
+
+
+def test_ranks_compare_all_columns():
+    rng = np.random.default_rng(1)
+    keys, splits = rng.integers(0, 4, (500, 3)), rng.integers(0, 4, (20, 3))
+    splits = splits[np.lexsort(splits.T[::-1])]
+    want = [sum(tuple(s) <= tuple(k) for s in splits.tolist()) for k in keys.tolist()]
+    assert sharding.ranks([keys[:, i] for i in range(3)], splits).tolist() == want
+
+
+def test_extreme_keys():
+    top = sharding.Block((), 0, (1 << 63) - 1)
+    inner = sharding.Block((3,), 0, (1 << 63) - 1)
+    assert inner.edge(True) == (4, sharding._LEAST, sharding._LEAST)
+    assert top.edge(False)[0] == (1 << 63) - 1
