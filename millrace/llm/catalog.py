@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, decontaminate, secret_scan, sharding, simhash, token_store
+from millrace.llm import byte_bpe, decontaminate, host_rules, secret_scan, sharding, simhash, token_store
 from millrace.llm.common import table, text_or_empty
 from millrace.llm.digests import count_kind, joined_spans, sha
 
@@ -23,6 +23,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return host_rules.judge(docs).select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,5 +67,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, store)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op5_secrets, op7_shards, op8_decontamination, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_host_rules, op4_simhash, op5_secrets, op7_shards, op8_decontamination, op9_token_store)}
 ORACLES: dict[str, str] = {}
