@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, decontaminate, host_rules, secret_scan, sharding, simhash, token_store
+from millrace.llm import byte_bpe, decontaminate, host_rules, pii, secret_scan, sharding, simhash, token_store
 from millrace.llm.common import table, text_or_empty
 from millrace.llm.digests import count_kind, joined_spans, sha
 
@@ -43,6 +43,17 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = pii.KINDS[: pii.BASE]
+    return pii.find(docs).select(
+        "doc_id",
+        *[count_kind("pii_spans", k).alias(f"n_{k}") for k in base],
+        sha(joined_spans("pii_spans", base)).alias("base_sha256"),
+        joined_spans("pii_spans").alias("spans"),
+    )
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -67,5 +78,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, store)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_host_rules, op4_simhash, op5_secrets, op7_shards, op8_decontamination, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_host_rules, op4_simhash, op5_secrets, op6_personal_data, op7_shards, op8_decontamination, op9_token_store)}
 ORACLES: dict[str, str] = {}
