@@ -122,11 +122,14 @@ class Segment:
 class WordEncoder:
     """A tokenizer file whose normaliser drops white space, applied to ASCII-separated words.
 
-    No merge, normalisation or pre-token crosses ASCII white space, so the ids of a text are those of its
-    words in turn; each distinct word of a batch goes to the library once, and short ones are remembered.
+    No merge, normalisation or pre-token crosses ASCII white space, nor the place between an ASCII letter and an
+    ASCII symbol other than an apostrophe, and case does not matter; so the ids of a text are those of its
+    lower-cased pieces in turn. Each distinct piece of a batch goes to the library once, and short ones are
+    remembered.
     """
 
-    CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+    CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+    LETTER_SYMBOL = r"([a-z])([!-&(-/:-@\[-`{-~])"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -147,7 +150,8 @@ class WordEncoder:
         return out
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
-        words = pa.compute.ascii_split_whitespace(texts)
+        spaced = pa.compute.replace_substring_regex(pa.compute.ascii_lower(texts), self.LETTER_SYMBOL, r"\1 \2")
+        words = pa.compute.ascii_split_whitespace(spaced)
         return join_by_document(words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py(), self.lookup, pa.int32())
 
 
