@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, decontaminate, host_rules, pii, secret_scan, sharding, simhash, token_store
+from millrace.llm import byte_bpe, decontaminate, host_rules, main_text, pii, secret_scan, sharding, simhash, token_store
 from millrace.llm.common import table, text_or_empty
 from millrace.llm.digests import count_kind, joined_spans, sha
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(byte_bpe.VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,5 +83,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, store)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_host_rules, op4_simhash, op5_secrets, op6_personal_data, op7_shards, op8_decontamination, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_byte_bpe, op3_host_rules, op4_simhash, op5_secrets, op6_personal_data, op7_shards, op8_decontamination, op9_token_store)}
 ORACLES: dict[str, str] = {}

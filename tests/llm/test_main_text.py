@@ -1,0 +1,63 @@
+import time
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm.main_text import extract, main_text, smoothed, threshold
+
+P1 = "The first paragraph says a good many words about a river and its mill."
+P2 = "A second one carries on for quite some time &amp; ends with <b>bold</b>ness."
+P2_TEXT = "A second one carries on for quite some time & ends with boldness."
+FRAME = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x='</p>';</script></head><body>%s</body></html>"
+MENU = "<nav><ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(6)) + "</ul></nav>"
+FOOT = "<footer>&copy; 2020 someone &middot; A long line of legal words that nobody reads at all, ever.</footer>"
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    (f"{MENU}<div class='ad'>Buy this now, it is really very cheap today.</div><article><h1>Title</h1><p>{P1}<p>Hm.<p>{P2}</article>{FOOT}", f"Title {P1} Hm. {P2_TEXT}"),
+    (f"<header><h1>Site</h1></header>{MENU}<main><h1>Title</h1><p>{P1}</p><aside>See also this and that and those</aside><p>{P2}</p></main>{FOOT}", f"Title {P1} {P2_TEXT}"),
+    (f"<div id='top-nav'>Home</div><div id='content'><h2>Title</h2><p>{P1}</p><p>{P2}</p></div><div class='sidebar'><p>{P1}</p><p>{P2}</p></div>", f"Title {P1} {P2_TEXT}"),
+    (f"<article><p>{P1}</p><form><p>Your name <input><button>Send</button></form><p>{P2}</p></article><section class='comments'><article><p>{P1} I disagree with all of this.</p></article></section>", f"{P1} {P2_TEXT}"),
+    (f"<div class='cookie-banner'>We use cookies. {P1}</div><div role='complementary'>{P1}</div><div style='display: none'>{P1}</div><p>{P1}</p><p>{P2}</p>", f"{P1} {P2_TEXT}"),
+    (f"<div class='ad'><p>Never closed {MENU}<article class='has-sidebar'><p>{P1}</p><ul><li>one</li><li><a>two</a></li></ul></article>", f"{P1} one two"),
+    (f"<article><p>{P1}</p><ul><li><a href=x>More A</a><li><a href=y>More B</a><li><a href=z>More C</a></ul><p>{P2}</p></article>", f"{P1} {P2_TEXT}"),
+    (f"<table><tr><td>{MENU}</td><td><p>{P1}</p><p>{P2}</p></td></tr></table>", f"{P1} {P2_TEXT}"),
+    ("<article>a&nbsp;b&#8211;c\n\n d<br>e<!-- no --><i>f</i></article>", "a b–c d ef"),
+])
+def test_pages(body, want):
+    assert main_text(FRAME % body) == want
+    assert main_text(body) == want
+
+
+def test_defined_cases():
+    assert [main_text(x) for x in (None, "", "   ", "plain", "<", "<p", "<![bad", "<script>x", "<!-- x", "&amp;")] == ["", "", "", "plain", "<", "", "", "", "", "&"]
+    assert main_text(MENU + FOOT) == ""
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<article>", "</article>", "<![", "<!", "<?x", "<a href='", ">", "text ", "&#", "&amp", "<li>", "<table>", "<td>", "</div>", "<div class=ad>", "<br/>", "<script/>", "</a", "\x00", "\U0001f600"]), max_size=30).map("".join))
+def test_any_page_gives_a_text(html):
+    assert " ".join(main_text(html).split()) == main_text(html)
+
+
+def test_deep_and_long_pages_stay_fast():
+    began = time.process_time()
+    assert main_text("<div>" * 50_000 + P1 + "</nav>" * 50_000) == P1
+    assert main_text("<article>" + f"<p>{P1}" * 20_000) == " ".join([P1] * 20_000)
+    assert time.process_time() - began < 20
+
+
+def test_smoothing_and_threshold():
+    assert smoothed(np.full(9, 3.0)) == pytest.approx(np.full(9, 3.0))
+    peak = smoothed(np.array([0, 0, 0, 9.0, 0, 0, 0]))
+    assert peak.argmax() == 3 and peak[2] == pytest.approx(peak[4])
+    assert 1 < threshold(np.array([1.0, 1, 1, 9, 9])) < 9 and threshold(np.array([2.0])) == 2
+
+
+def test_dataframe(spark):
+    rows = [(1, None, "x"), (2, "", "x"), (3, FRAME % f"<article><p>{P1}</p></article>", "x"), (3, FRAME % f"<article><p>{P1}</p></article>", "x")]
+    pages = spark.createDataFrame(rows, "page_id int, html string, TEXT string")
+    assert [r.text for r in extract(pages).orderBy("page_id").collect()] == ["", "", P1, P1]
+    assert extract(pages.limit(0)).count() == 0
