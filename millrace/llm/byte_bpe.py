@@ -24,7 +24,7 @@ from millrace.llm.common import add_from_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Longer pre-tokens are not remembered.
 CACHE_CHARS = 64
 
@@ -85,7 +85,7 @@ class Encoder:
         import sentencepiece
 
         self.ranks = ranks
-        self.ids_of_pieces = np.array(sorted(ranks.values()), dtype=np.int32)
+        self.ids_of_pieces = sorted(ranks.values())
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.pretokens = regex.compile(pattern).findall
         self.cache: dict[str, list[int]] = {}
@@ -101,7 +101,7 @@ class Encoder:
                 rest.append((i, mapped(data)))
         if rest:
             for (i, _), pieces in zip(rest, self.model.encode([m for _, m in rest], out_type=int, num_threads=1), strict=True):
-                out[i] = self.ids_of_pieces[pieces].tolist()
+                out[i] = [self.ids_of_pieces[p] for p in pieces]
         return out
 
     def lookup(self, tokens: list[str]) -> list[list[int]]:
@@ -181,6 +181,23 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     return add_from_text(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType(), False))], start)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", data: str = "decoded") -> DataFrame:
+    """`df` with each text's ids and the bytes that these ids decode to, in one pass."""
+
+    def start():
+        import pyarrow.compute  # noqa: F401
+
+        encoder, decoder = _encoder(path, pattern), Decoder(read_ranks(path))
+
+        def work(column):
+            coded = encoder.encode(column.fill_null("").to_pylist())
+            return [coded, decoder.decode(coded)]
+
+        return work
+
+    return add_from_text(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(data, T.BinaryType())], start)
+
+
 def decode(df: DataFrame, path: str, ids: str = "token_ids", data: str = "decoded") -> DataFrame:
     """`df` with a binary column `data`: the bytes of each row's ids."""
 

@@ -19,8 +19,7 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(byte_bpe.VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "token_ids")
-    return byte_bpe.decode(coded, path).select(
+    return byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("token_ids").cast("bigint").alias("n_tokens"),
         sha(F.array_join(F.col("token_ids").cast("array<string>"), ",")).alias("ids_sha256"),

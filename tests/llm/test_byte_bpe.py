@@ -25,7 +25,9 @@ def test_dataframe_round_trip(spark):
     texts = [*ODD, *noise(1), "z" * 30_000, "ab " * 20_000, "\u4f60\u597d" * 500]
     rows = byte_bpe.decode(byte_bpe.encode(documents(spark, texts), PATH, P.PATTERN), PATH).collect()
     assert len(rows) == len(texts)
+    both = {r.doc_id: r for r in byte_bpe.round_trip(documents(spark, texts), PATH, P.PATTERN).collect()}
     for r in rows:
+        assert (both[r.doc_id].token_ids, both[r.doc_id].decoded) == (r.token_ids, r.decoded)
         assert r.token_ids == THEIRS.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
 
