@@ -78,21 +78,28 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
 def host_verdicts(counted: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """(host, n_docs, n_failed, host_rate, rejected): the shrunk rate of every host."""
     hosts = counted.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("bigint")).alias("n_failed"))
+    hosts = cut(hosts)
     rate = F.col("n_failed") / F.col("n_docs")
     sums = hosts.agg(
         F.sum("n_docs").alias("n"), F.sum("n_failed").alias("x"), F.count("*").alias("k"),
-        F.sum(F.col("n_docs") * rate * rate).alias("q"), F.sum(F.col("n_docs") * F.col("n_docs")).alias("n2"),
-    )
-    mean = F.col("x") / F.col("n")
-    noise = mean * (1 - mean)
-    # Kleinman's moments: the weighted variance of the rates between hosts, less what binomial noise gives.
-    between = (F.col("q") - F.col("n") * mean * mean - (F.col("k") - 1) * noise) / F.nullif(F.col("n") - F.col("n2") / F.col("n") - (F.col("k") - 1), F.lit(0.0))
-    strength = noise / between - 1
-    fitted = F.when((between > 0) & strength.isNotNull(), F.greatest(F.lit(PRIOR_MIN), F.least(F.lit(PRIOR_MAX), strength))).otherwise(F.lit(PRIOR_MAX))
-    prior = sums.select(mean.alias("_mr_mean"), fitted.alias("_mr_strength"))
-    posterior = (F.col("n_failed") + F.col("_mr_mean") * F.col("_mr_strength")) / (F.col("n_docs") + F.col("_mr_strength"))
-    shrunk = hosts.join(F.broadcast(prior)).withColumn("host_rate", posterior)  # the prior is one row
-    return shrunk.select("host", "n_docs", "n_failed", "host_rate", (F.col("host_rate") >= limit).alias("rejected"))
+        F.sum(F.col("n_docs") * rate * rate).alias("q"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("n2"),
+    ).first()
+    mean, strength = beta_prior(sums.n or 0, sums.x or 0, sums.k, sums.q or 0.0, sums.n2 or 0.0)
+    posterior = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
+    return hosts.select("host", "n_docs", "n_failed", posterior.alias("host_rate"), (posterior >= limit).alias("rejected"))
+
+
+def beta_prior(n: int, failed: int, hosts: int, squares: float, sizes: float) -> tuple[float, float]:
+    """The prior's mean and strength by Kleinman's moments: the weighted variance of the rates between hosts, less what binomial noise gives.
+
+    squares: the sum of n_i * rate_i ** 2; sizes: the sum of n_i ** 2.
+    """
+    if not n:
+        return 0.0, PRIOR_MAX
+    mean = failed / n
+    noise, freedom = mean * (1 - mean), n - sizes / n - (hosts - 1)
+    between = (squares - n * mean * mean - (hosts - 1) * noise) / freedom if freedom else 0.0
+    return mean, max(PRIOR_MIN, min(PRIOR_MAX, noise / between - 1)) if between > 0 else PRIOR_MAX
 
 
 def judge(df: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
