@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, decontaminate, host_rules, main_text, pii, secret_scan, sharding, simhash, token_store, weak_labels
+from millrace.llm import byte_bpe, decontaminate, host_rules, main_text, oracles, pii, secret_scan, sharding, simhash, token_store, weak_labels
 from millrace.llm.common import table, text_or_empty
 from millrace.llm.digests import count_kind, joined_spans, sha
 
@@ -89,4 +89,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_byte_bpe, op3_host_rules, op4_simhash, op5_secrets, op6_personal_data, op7_shards, op8_decontamination, op9_token_store, op10_quality)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_host_rules": oracles.OP3, "op8_decontamination": oracles.OP8}
