@@ -73,15 +73,30 @@ class Target:
     edge: tuple[int, int, int] | None = None
 
 
-def _round(keys: DataFrame, blocks: list[Block]) -> dict[tuple[int, int], int]:
-    """Exact bytes of each (block number, sub-block)."""
-    number, cell = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+@dataclass(frozen=True)
+class Cell:
+    """What a sub-block holds: exact bytes and rows, and the least and largest value of the column it divides."""
+
+    bytes: int
+    rows: int
+    low: int
+    high: int
+
+
+def _round(keys: DataFrame, blocks: list[Block]) -> dict[int, list[Cell]]:
+    """The sub-blocks with rows of each block, by its number, in ascending order."""
+    number, cell, value = F.lit(None).cast("int"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
     for i, block in enumerate(blocks):
-        inside = block.condition()
+        inside, column = block.condition(), _KEY[len(block.prefix)]
         number = F.when(inside, F.lit(i)).otherwise(number)
-        cell = F.when(inside, F.shiftright(_KEY[len(block.prefix)], max(0, block.bits - PROBE_BITS))).otherwise(cell)
-    sums = keys.select(number.alias("block"), cell.alias("cell"), "size").where("block IS NOT NULL").groupBy("block", "cell").agg(F.sum("size").alias("bytes"))
-    return {(r.block, r.cell): r.bytes for r in sums.collect()}
+        cell = F.when(inside, F.shiftright(column, max(0, block.bits - PROBE_BITS))).otherwise(cell)
+        value = F.when(inside, F.col(column)).otherwise(value)
+    dealt = keys.select(number.alias("block"), cell.alias("cell"), value.alias("value"), "size").where("block IS NOT NULL")
+    sums = dealt.groupBy("block", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
+    out: dict[int, list[Cell]] = {}
+    for r in sorted(sums.collect(), key=lambda r: (r.block, r.cell)):
+        out.setdefault(r.block, []).append(Cell(r.bytes, r.rows, r.low, r.high))
+    return out
 
 
 def splitters(keys: DataFrame, total: int, shards: int, per_shard: int, tolerance: float, group_tolerance: float) -> list[tuple[int, int, int]]:
@@ -95,34 +110,33 @@ def splitters(keys: DataFrame, total: int, shards: int, per_shard: int, toleranc
         blocks = list(dict.fromkeys(t.block for t in open_))
         for at in range(0, len(blocks), 64):
             some = blocks[at : at + 64]
-            sums = _round(keys, some)
-            cells: dict[int, list[tuple[int, int]]] = {}
-            for (i, cell), n in sorted(sums.items()):
-                cells.setdefault(i, []).append((cell, n))
+            cells = _round(keys, some)
             for t in open_:
                 if t.block in some:
                     _refine(t, cells.get(some.index(t.block), []))
     return [t.edge for t in targets]
 
 
-def _refine(t: Target, cells: list[tuple[int, int]]) -> None:
-    prefix, bits, below = t.block.prefix, max(0, t.block.bits - PROBE_BITS), t.below
-    for k, (cell, n) in enumerate(cells):
-        if below + n < t.at and k + 1 < len(cells):
-            below += n
+def _refine(t: Target, cells: list[Cell]) -> None:
+    """Settle the splitter at an edge of the sub-block that holds the target, or go into that sub-block."""
+    prefix, below = t.block.prefix, t.below
+    for k, cell in enumerate(cells):
+        if below + cell.bytes < t.at and k + 1 < len(cells):
+            below += cell.bytes
             continue
-        inner = Block(prefix, bits, cell)
-        low, high = t.at - below, below + n - t.at
-        final = not bits and len(prefix) == 2
+        bits = 64 if (cell.low < 0) != (cell.high < 0) else (cell.low ^ cell.high).bit_length()
+        inner = Block(prefix, bits, cell.low >> bits)  # no wider than its values are apart
+        low, high = t.at - below, below + cell.bytes - t.at
+        final = cell.rows == 1 or not bits and len(prefix) == 2
         slack = t.group_slack if not bits and not prefix else t.slack
         if final or min(low, high) <= slack:
             t.edge = inner.edge(high < low)
         elif bits:
             t.block, t.below = inner, below
         else:
-            t.block, t.below = Block((*prefix, cell), 64, 0), below
+            t.block, t.below = Block((*prefix, cell.low), 64, 0), below
         return
-    t.edge = Block(prefix, t.block.bits, t.block.index).edge(False)
+    t.edge = t.block.edge(False)
 
 
 def ranks(keys: list[np.ndarray], splits: np.ndarray) -> np.ndarray:
