@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def arriving(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """`df` with the time of processing as its time: what processing-time windows group by."""
+    return df.withColumn(ts, F.current_timestamp())
+
+
 def tumble(df: DataFrame, keys: list[str], size: str, aggs: list[Column], ts: str = "ts") -> DataFrame:
     return _grouped(df, keys, F.window(ts, size), aggs)
 

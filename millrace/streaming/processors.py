@@ -45,6 +45,8 @@ class Processor(StatefulProcessor):
     #: Names of single values and of lists, with their schemas.
     values: dict[str, T.StructType] = {}
     lists: dict[str, T.StructType] = {}
+    echo = ""
+    kind: str | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -62,6 +64,8 @@ class Processor(StatefulProcessor):
             (self.state.get(n) or self.held[n]).clear()
 
     def emit(self, tag: str, ms: int | None, **payload) -> None:
+        if self.echo:
+            payload["kind"] = self.kind
         self.rows.append((self.key, tag, None if ms is None else moment(ms), json.dumps(payload, sort_keys=True)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -70,6 +74,7 @@ class Processor(StatefulProcessor):
         if frames:
             frame = pd.concat(frames).sort_values(["ts", "seq"], kind="stable")
             for ts, seq, value, kind in zip(frame["ts"], frame["seq"], frame["value"], frame["kind"], strict=True):
+                self.kind = kind
                 self.on_event(millis(ts), int(seq), None if pd.isna(value) else float(value), kind, timerValues)
         yield self.frame()
 
@@ -244,6 +249,19 @@ class Counter(Processor):
         self.emit(MAIN, ms, n=n, length=len(kind or ""))
 
 
+class KindCounts(Processor):
+    """Counts a key's events by kind, in map state."""
+
+    def init(self, handle):
+        super().init(handle)
+        self.counts = handle.getMapState("counts", T.StructType([T.StructField("k", T.StringType())]), _LONG)
+
+    def on_event(self, ms, seq, value, kind, timers):
+        n = (self.counts.getValue((kind,))[0] if self.counts.containsKey((kind,)) else 0) + 1
+        self.counts.updateValue((kind,), (n,))
+        self.emit(MAIN, ms, kind=kind, n=n)
+
+
 class LateRouter(Processor):
     """Tags events behind the watermark. Runs in processing time, where late rows still arrive."""
 
@@ -373,7 +391,11 @@ class Reconciler(Processor):
         self.drop("left", "right", "due")
 
 
-def run(stream: DataFrame, key: str, processor: Processor, time_mode: str = "EventTime", output_mode: str = "append") -> DataFrame:
-    """`processor` over `stream` by `key`. The stream has ts (with a watermark), seq, value and kind; the RocksDB state store must be set."""
+def run(stream: DataFrame, key: str, processor: Processor, time_mode: str = "EventTime", output_mode: str = "append", event_time: str = "", echo: str = "") -> DataFrame:
+    """`processor` over `stream` by `key`. The stream has ts (with a watermark), seq, value and kind; the RocksDB state store must be set.
+
+    event_time: the output column (ts) by which windows may follow. echo: "kind" adds each event's kind to its payload.
+    """
+    processor.echo = echo
     events = stream.selectExpr(f"CAST({key} AS STRING) AS _key", "ts", "CAST(seq AS BIGINT) AS seq", "CAST(value AS DOUBLE) AS value", "CAST(kind AS STRING) AS kind")
-    return events.groupBy("_key").transformWithStateInPandas(processor, outputStructType=OUTPUT, outputMode=output_mode, timeMode=time_mode)
+    return events.groupBy("_key").transformWithStateInPandas(processor, OUTPUT, output_mode, time_mode, None, event_time)

@@ -111,3 +111,9 @@ def test_counter_over_random_batches(spark, tmp_path):
     rows = run(spark, tmp_path, p.Counter(), [data[:13], data[13:40], data[40:]])
     for key in "ab":
         assert [o[2]["n"] for o in outputs(rows) if o[0] == key] == list(range(1, 1 + sum(d[0] == key for d in data)))
+
+
+def test_counts_by_kind_in_map_state(spark, tmp_path):
+    data = [("a", at(i), i, 0.0, k) for i, k in enumerate("xyxxy")]
+    rows = run(spark, tmp_path, p.KindCounts(), [data[:2], data[2:]])
+    assert [(o[2]["kind"], o[2]["n"]) for o in outputs(rows)] == [("x", 1), ("y", 1), ("x", 2), ("x", 3), ("y", 2)]

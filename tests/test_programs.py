@@ -1,0 +1,92 @@
+import os
+from datetime import datetime
+
+import pytest
+
+from millrace.plans.programs import PROGRAMS, lines_of
+from millrace.sources.config import JobConfig
+from millrace.streaming import jobs
+from tests.streams import collect
+
+T0 = 1_511_658_000
+FAR = T0 + 900_000
+
+
+def write(folder, *files):
+    folder.mkdir()
+    for i, lines in enumerate(files):
+        (folder / f"{i}.csv").write_text("\n".join(lines) + "\n")
+        os.utime(folder / f"{i}.csv", (1_700_000_000 + i,) * 2)
+    return str(folder)
+
+
+def run(spark, tmp_path, name, files, streaming, mode="append", **extra):
+    jobs.state_settings(spark)
+    config = JobConfig(input=write(tmp_path / "in", *files), extra=extra, allowed_lateness=0)
+    lines = lines_of(spark, config, streaming)
+    if streaming:
+        lines = spark.readStream.option("maxFilesPerTrigger", 1).text(config.input)
+    results = PROGRAMS[name](lines, config)
+    return {k: collect(df, tmp_path, mode) if streaming else df.collect() for k, df in results.items()}
+
+
+def behavior(user, item, action, s):
+    return f"{user},{item},{item % 3},{action},{T0 + s}"
+
+
+VIEWS = [behavior(u, i, "pv", 60 * k) for k, (u, i) in enumerate([(1, 7), (2, 7), (1, 8), (3, 7), (3, 9)])] + [behavior(1, 7, "buy", 10)]
+
+
+@pytest.mark.parametrize("streaming", [False, True])
+def test_views(spark, tmp_path, streaming):
+    files = [VIEWS, [behavior(0, 0, "pv", FAR - T0)]] if streaming else [VIEWS]
+    (r,) = [x for x in run(spark, tmp_path, "pv_uv", files, streaming)["main"] if x.window_end.year == 2017]
+    assert (r.pv, r.uv) == (5, 3)
+
+
+def test_hot_items_and_market(spark, tmp_path):
+    rows = run(spark, tmp_path, "hot_items", [VIEWS], False)["main"]
+    assert (3, 7) in [(r["items"][0]["count"], r["items"][0]["item"]) for r in rows]
+    assert sum(r.n for r in PROGRAMS["app_market"](lines_of(spark, JobConfig(input=str(tmp_path / "in")), False), JobConfig())["main"].collect()) == 6
+
+
+def test_hot_pages(spark, tmp_path):
+    lines = ["1.1.1.1 - - 17/05/2015:10:05:03 +0000 GET /a", "1.1.1.1 - - 17/05/2015:10:05:04 +0000 GET /a", "bad line"]
+    out = run(spark, tmp_path, "hot_pages", [lines], False)
+    assert {(p["count"], p["key"]) for r in out["main"] for p in r.pairs} >= {(2, "/a")} and len(out["errors"]) == 1
+
+
+CLICKS = [f"937166,1715,beijing,beijing,{T0 + i}" for i in range(13)] + [f"5,1715,beijing,beijing,{T0 + 20}", f"5,36,shanghai,x,{T0 + 21}"]
+
+
+@pytest.mark.parametrize("streaming", [False, True])
+def test_ads(spark, tmp_path, streaming):
+    files = [CLICKS, [f"1,1,far,far,{FAR}"], [f"1,1,far,far,{FAR + 99999}"]] if streaming else [CLICKS]
+    out = run(spark, tmp_path, "ads_by_province", files, streaming)
+    assert [(r.user_id, r.ad_id, int(r.ts.timestamp()) - int(datetime.fromtimestamp(T0).timestamp())) for r in out["alarms"]] == [(937166, 1715, 10)]
+    if streaming:
+        assert {(r.province, r.ad_id, r["count"]) for r in out["main"]} >= {("beijing", 1715, 11), ("shanghai", 36, 1)}
+    else:
+        assert {(r.province, p.key, p["count"]) for r in out["main"] for p in r.pairs} == {("beijing", 1715, 11), ("shanghai", 36, 1)}
+
+
+@pytest.mark.parametrize("streaming", [False, True])
+def test_logins_orders_and_receipts(spark, tmp_path, streaming):
+    for d in "abc":
+        (tmp_path / d).mkdir()
+    logins = [f"1035,1.1.1.1,{s},{T0 + i}" for i, s in enumerate(["success", "fail", "fail", "fail", "success", "fail"])]
+    out = run(spark, tmp_path / "a", "login_alarm", [logins, [f"1,1.1.1.1,success,{FAR}"]], streaming)["main"]
+    assert len(out) == 2
+    orders = [f"1,create,,{T0}", f"1,pay,p1,{T0 + 60}", f"2,create,,{T0 + 5}", f"3,pay,p3,{T0 + 6}"]
+    out = run(spark, tmp_path / "b", "order_payment", [orders, [f"9,create,,{FAR}"]], streaming)
+    keys = lambda rows: {r.key if streaming else str(r.order_id) for r in rows}
+    assert keys(out["main"]) == {"1"} and "2" in keys(out["timeouts"])
+    mixed = [*orders, f"p1,wechat,{T0 + 100}", f"p9,alipay,{T0 + 3}"]
+    out = run(spark, tmp_path / "c", "reconciliation", [mixed, [f"8,pay,p8,{FAR}"]], streaming)
+    keys = lambda rows: {r.key if streaming else r.payment_id for r in rows}
+    assert keys(out["main"]) == {"p1"}
+    assert streaming or keys(out["unmatched"]) == {"p3", "p9", "p8"}
+
+
+def test_word_count(spark, tmp_path):
+    assert {tuple(r) for r in run(spark, tmp_path, "word_count", [["a b", "a"]], False)["main"]} == {("a", 2), ("b", 1)}
