@@ -5,7 +5,7 @@ text, its tags, the share of its text inside links and the element that holds it
 a tag. The ratios, in page order, are smoothed by a Gaussian and split in two clusters by the threshold that lies
 midway between the cluster means; lines of the upper cluster mark the content. The content region is then the
 article (or main element, or else the innermost container) that holds most of the marked text, and all lines of
-that region are returned in page order, so short paragraphs and headings beside the marked ones are kept whole.
+that region are returned in page order, so short paragraphs and headings beside the marked ones are kept whole; so is a title that stands before the region.
 
 Lines inside menus, page headers, footers, sidebars, forms, scripts, notices, adverts or reader comments (by tag,
 role, class or id, or hidden) never count as content and are never returned; nor are lists of links alone. An
@@ -47,10 +47,17 @@ DROPPED_TAGS = frozenset(
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of class or id names that mark what is not the article.
 DROPPED_WORDS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu "
-    "modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion recommended related replies reply share sharing sidebar signup skip social "
-    "sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads adsense advert adverts advertisement advertisements advertising alert alerts banner banners breadcrumb breadcrumbs comment commentbox commenter commentform commentlist "
+    "comments consent cookie cookies discussion disqus feedback footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification "
+    "notifications overlay pager pagination popup popups promo promos promoted promotion recommendations recommended related replies reply respond responses share sharing sidebar "
+    "sidebars sidenav signup skip social sponsor sponsored sponsors subscribe subscription teaser toast toolbar topbar widget widgets".split()
 )
+#: Ends of such names that are written as one word, and what marks a page header, which an article's own is not.
+DROPPED_ENDS = ("banner", "footer", "menu", "navbar", "navigation", "sidebar")
+HEADER_ENDS = ("header", "masthead", "topbar")
+ARTICLE_WORDS = frozenset("article content entry post story".split())
+#: Words that drop an article element too.
+ARTICLES_DROPPED = frozenset("ad ads comment comments promo promoted related reply replies sponsored teaser widget".split())
 KEPT_TAGS = frozenset("html body main".split())
 #: Unclosed boxes of these tags end where an article or main element starts.
 ENDS_AT_ARTICLE = frozenset("div header nav p section span ul".split())
@@ -72,7 +79,7 @@ class _Element:
 class Line:
     __slots__ = ("dropped", "heading", "item", "linked", "node", "tags", "text")
 
-    def __init__(self, text: str, tags: int, linked: int, element: _Element, item: int, heading: bool):
+    def __init__(self, text: str, tags: int, linked: int, element: _Element, item: int, heading: int):
         self.text, self.tags, self.linked, self.node, self.dropped, self.item, self.heading = text, tags, linked, element.node, bool(element.dropped), item, heading
 
 
@@ -85,8 +92,11 @@ def why_dropped(tag: str, attributes: list[tuple[str, str | None]], in_article:
     for name, value in attributes:
         value = (value or "").lower()
         if name in ("class", "id"):
-            found = DROPPED_WORDS.intersection(_NAME.findall(_HIDING.sub(" ", value)))
-            if found and not (tag == "article" and not found & {"comment", "comments", "reply", "replies", "ad", "ads", "promo", "sponsored"}):
+            words = _NAME.findall(_HIDING.sub(" ", value))
+            found = {w for w in words if w in DROPPED_WORDS or w.endswith(DROPPED_ENDS)}
+            if not in_article and not ARTICLE_WORDS.intersection(words):
+                found |= {w for w in words if w.endswith(HEADER_ENDS)}
+            if found and not (tag == "article" and not found & ARTICLES_DROPPED):
                 return min(found)
         elif name == "role" and value in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _UNSEEN.search(value):
             return name
@@ -117,7 +127,7 @@ class Lines(HTMLParser):
         if text:
             top = self.stack[-1]
             item = self.items if any(e.tag == "li" for e in self.stack[-4:]) else 0
-            self.lines.append(Line(text, self.tags, self.linked, top, item, any(e.tag in HEADINGS for e in self.stack[-3:])))
+            self.lines.append(Line(text, self.tags, self.linked, top, item, next((int(e.tag[1]) for e in self.stack[-3:] if e.tag in HEADINGS), 0)))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -279,7 +289,7 @@ def main_text(html: str | None) -> str:
     while top:
         above.add(top)
         top = page.parents[top]
-    return " ".join(x.text for x, f in zip(lines, free, strict=True) if f and (inside[x.node] or x.heading and x.node in above))
+    return " ".join(x.text for x, f in zip(lines, free, strict=True) if f and (inside[x.node] or x.heading and x.node in above or x.heading == 1 and page.parents[x.node] in above))
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -24,6 +24,8 @@ FOOT = "<footer>&copy; 2020 someone &middot; A long line of legal words that nob
     (f"<div class='ad'><p>Never closed {MENU}<article class='has-sidebar'><p>{P1}</p><ul><li>one</li><li><a>two</a></li></ul></article>", f"{P1} one two"),
     (f"<article><p>{P1}</p><ul><li><a href=x>More A</a><li><a href=y>More B</a><li><a href=z>More C</a></ul><p>{P2}</p></article>", f"{P1} {P2_TEXT}"),
     (f"<table><tr><td>{MENU}</td><td><p>{P1}</p><p>{P2}</p></td></tr></table>", f"{P1} {P2_TEXT}"),
+    (f"<div class='siteHeader'>Site name and slogan</div><div class='post-header'><h1>Title</h1></div><div class='post'><p>{P1}</p><p>{P2}</p><div class='commentlist'><p>{P1}</p></div></div><div id='pageFooter'>{P1}</div>", f"Title {P1} {P2_TEXT}"),
+    (f"<div class='page'><div class='notice'>Maintenance tonight from ten to eleven.</div><article class='post hentry'><header><h1>Title</h1></header><p>{P1}</p><p>{P2}</p><footer>Filed under things</footer></article><article class='teaser'><p>{P1}</p></article></div>", f"Title {P1} {P2_TEXT}"),
     ("<article>a&nbsp;b&#8211;c\n\n d<br>e<!-- no --><i>f</i></article>", "a b–c d ef"),
 ])
 def test_pages(body, want):
