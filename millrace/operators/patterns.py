@@ -76,8 +76,14 @@ def rising_runs(df: DataFrame, key: str, order: list[str], value: str, at_least:
     return out.where(F.col("first_rise") + _span(at_least) <= F.col("last_ts")).drop("_run")
 
 
-def limited(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
-    """`df` with `click_no` and `tag`: pass for the first `most` rows of a key, alarm for the next one, drop for the rest."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+def limited(df: DataFrame, keys: list[str], order: list[str], most: int, keep_dropped: bool = False) -> DataFrame:
+    """`df` with `click_no` and `tag`: pass for the first `most` rows of a key and alarm for the next one.
+
+    The rest goes before the exchange, so that a hot key sends at most `most` + 1 rows a task; with `keep_dropped` it
+    stays, tagged drop, and a key's rows all meet in one task.
+    """
+    numbered = df.withColumn("click_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if not keep_dropped:
+        numbered = numbered.where(F.col("click_no") <= most + 1)
     tag = F.when(F.col("click_no") <= most, "pass").when(F.col("click_no") == most + 1, "alarm").otherwise("drop")
-    return df.withColumn("click_no", n.cast("bigint")).withColumn("tag", tag)
+    return numbered.withColumn("click_no", F.col("click_no").cast("bigint")).withColumn("tag", tag)

@@ -96,8 +96,9 @@ def test_reconcile(spark):
 
 def test_limit_and_rising(spark):
     clicks = spark.createDataFrame([(1, at(i), i) for i in range(13)], "u int, ts timestamp, seq int")
-    tags = [r.tag for r in patterns.limited(clicks, ["u"], ["ts", "seq"], 10).orderBy("seq").collect()]
+    tags = [r.tag for r in patterns.limited(clicks, ["u"], ["ts", "seq"], 10, keep_dropped=True).orderBy("seq").collect()]
     assert tags == ["pass"] * 10 + ["alarm"] + ["drop"] * 2
+    assert [r.tag for r in patterns.limited(clicks, ["u"], ["ts", "seq"], 10).orderBy("seq").collect()] == tags[:11]
     values = [1, 2, 2, 3, 1, 2]
     df = spark.createDataFrame([(1, at(5 * i), i, float(v)) for i, v in enumerate(values)], "u int, ts timestamp, seq int, v double")
     assert [(r.first_rise, r.last_ts, r.rises) for r in patterns.rising_runs(df, "u", ["ts", "seq"], "v", "10 seconds").collect()] == [(at(5), at(15), 2)]

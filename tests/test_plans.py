@@ -27,6 +27,7 @@ def test_filters_and_columns_reach_the_scan(spark, name):
 def test_top_k_keeps_k_rows_a_group_before_the_exchange(spark):
     assert "WindowGroupLimit" in plan(catalog.QUERIES["hot_items_top5"](spark, SF))
     assert "WindowGroupLimit" in plan(catalog.QUERIES["top2_per_key"](spark, SF))
+    assert "WindowGroupLimit" in plan(catalog.QUERIES["ad_click_alarm"](spark, SF))
 
 
 @pytest.mark.parametrize(("name", "most"), [
