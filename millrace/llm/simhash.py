@@ -35,7 +35,6 @@ SHARD_CODES = 3000
 #: Mean fingerprints that the slices leave in a shard.
 SHARD_MEAN = 48
 
-_WHITE = b" \t\n\x0b\x0c\r"
 _HASHES_AT_ONCE = 1 << 15
 
 
