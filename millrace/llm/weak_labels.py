@@ -61,7 +61,8 @@ class Reading:
         words = data.split()
         n = self.n = len(words)
         self.shapes = Counter(data.translate(_SHAPE).split())
-        self.distinct = len(set(words))
+        counted = Counter(words)
+        self.distinct = len(counted)
         pairs = set(zip(words, words[1:], strict=False))
         lines = [x for x in data.split(b"\n") if x.strip()]
         few = n < FEW_WORDS
@@ -73,7 +74,7 @@ class Reading:
         repeats = 1 - len(pairs) / (n - 1) if n > 1 else 0.0
         variety = share(self.distinct)
         same = 1 - len(set(lines)) / len(lines) if lines else 0.0
-        known = share(sum(w.strip(b".,;:!?\"'()").lower() in _FUNCTION_BYTES for w in words[:4000])) * max(1, n) / max(1, min(n, 4000)) if n else 0.0
+        known = share(sum(k for w, k in counted.items() if w.strip(b".,;:!?\"'()").lower() in _FUNCTION_BYTES))
         length = sum(map(len, words)) / max(1, n)
         self.values = {"symbols": symbols, "capitals": capitals, "shouts": shouts, "bars": bars, "repeats": repeats, "variety": variety, "lines": same, "function_words": known, "word_length": length}
         self.votes = (

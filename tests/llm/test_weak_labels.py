@@ -36,6 +36,16 @@ def test_pattern_numbers_round_trip():
         assert weak_labels.pattern_votes(weak_labels.pattern_number(votes)) == votes
 
 
+@pytest.mark.parametrize("prose_first", [True, False])
+def test_function_words_are_counted_over_the_whole_text(prose_first):
+    prose, table = ["The", "mill", "of", "it,"] * 1000, [f"cell{i}" for i in range(16_000)]
+    read = weak_labels.Reading(" ".join(prose + table if prose_first else table + prose))
+    assert read.values["function_words"] == pytest.approx(3000 / 20_000)
+    few = weak_labels.Reading(" ".join(prose[:400] + table if prose_first else table + prose[:400]))
+    assert few.values["function_words"] == pytest.approx(300 / 16_400)
+    assert few.votes[weak_labels.LABELLERS.index("function_words")] == weak_labels.BAD
+
+
 def test_defined_cases(spark):
     texts = [*ODD, *noise(40), "word " * 50_000]
     docs = documents(spark, texts).withColumn("quality_ok", F.lit("old"))
