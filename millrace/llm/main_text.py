@@ -4,8 +4,9 @@ The standard library's parser streams a page's events. Block borders cut them in
 text, its tags, the share of its text inside links and the element that holds it. A line's ratio is its characters
 a tag. The ratios, in page order, are smoothed by a Gaussian and split in two clusters by the threshold that lies
 midway between the cluster means; lines of the upper cluster mark the content. The content region is then the
-article (or main element, or else the innermost container) that holds most of the marked text, and all lines of
-that region are returned in page order, so short paragraphs and headings beside the marked ones are kept whole; so is a title that stands before the region.
+outermost article or main element around all marked lines, or else the innermost container of them all, and all lines of
+that region are returned in page order, so short paragraphs and headings beside the marked ones are kept whole; so is a title that stands before the region,
+and so are paragraphs right beside a region that is no article or main element, unless they are mostly links.
 
 Lines inside menus, page headers, footers, sidebars, forms, scripts, notices, adverts or reader comments (by tag,
 role, class or id, or hidden) never count as content and are never returned; nor are lists of links alone. An
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import add_from_text
 
-SIGMA, REGION_SHARE, MENU_ITEMS = 1.5, 0.75, 3
+SIGMA, MENU_ITEMS = 1.5, 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -77,10 +78,10 @@ class _Element:
 
 
 class Line:
-    __slots__ = ("dropped", "heading", "item", "linked", "node", "tags", "text")
+    __slots__ = ("dropped", "heading", "item", "linked", "node", "prose", "tags", "text")
 
-    def __init__(self, text: str, tags: int, linked: int, element: _Element, item: int, heading: int):
-        self.text, self.tags, self.linked, self.node, self.dropped, self.item, self.heading = text, tags, linked, element.node, bool(element.dropped), item, heading
+    def __init__(self, text: str, tags: int, linked: int, element: _Element, item: int, heading: int, prose: bool):
+        self.text, self.tags, self.linked, self.node, self.dropped, self.item, self.heading, self.prose = text, tags, linked, element.node, bool(element.dropped), item, heading, prose
 
 
 def why_dropped(tag: str, attributes: list[tuple[str, str | None]], in_article: bool) -> str:
@@ -127,7 +128,9 @@ class Lines(HTMLParser):
         if text:
             top = self.stack[-1]
             item = self.items if any(e.tag == "li" for e in self.stack[-4:]) else 0
-            self.lines.append(Line(text, self.tags, self.linked, top, item, next((int(e.tag[1]) for e in self.stack[-3:] if e.tag in HEADINGS), 0)))
+            heading = next((int(e.tag[1]) for e in self.stack[-3:] if e.tag in HEADINGS), 0)
+            prose = self.linked * 2 < len(text) and any(e.tag == "p" for e in self.stack[-4:])
+            self.lines.append(Line(text, self.tags, self.linked, top, item, heading, prose))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -242,23 +245,16 @@ def menu_lists(lines: list[Line]) -> set[int]:
 
 
 def region(page: Lines, weights: dict[int, int]) -> int:
-    """The node that holds the marked text: from the root down while one child holds REGION_SHARE of all; an article or main element is not left for a part of it."""
+    """The outermost article or main element that holds all marked text, or else the innermost node that does (a table's parent for the table)."""
     held, total = dict(weights), sum(weights.values())
     for node in range(len(page.parents) - 1, 0, -1):
         if node in held:
             held[page.parents[node]] = held.get(page.parents[node], 0) + held[node]
-    children: dict[int, list[int]] = {}
-    for node in held:
-        if node:
-            children.setdefault(page.parents[node], []).append(node)
-    path, best = [0], 0
-    while inner := [c for c in children.get(path[-1], ()) if held[c] >= REGION_SHARE * total]:
-        path.append(inner[0])
-    for node in reversed(path):
+    path = [node for node in sorted(held) if held[node] == total]  # parents come before their children
+    for node in path:
         if page.kinds[node] in ("article", "main"):
             return node
-        best = best or (node if page.kinds[node] != "table" else 0)
-    return best
+    return next(node for node in reversed(path) if page.kinds[node] != "table")
 
 
 def main_text(html: str | None) -> str:
@@ -285,11 +281,16 @@ def main_text(html: str | None) -> str:
     inside = [top == 0]
     for node in range(1, len(page.parents)):
         inside.append(node == top or inside[page.parents[node]])
+    beside = page.parents[top] if page.kinds[top] not in ("", "article", "main") else -1
     above = {0}
     while top:
         above.add(top)
         top = page.parents[top]
-    return " ".join(x.text for x, f in zip(lines, free, strict=True) if f and (inside[x.node] or x.heading and x.node in above or x.heading == 1 and page.parents[x.node] in above))
+
+    def kept(x: Line) -> bool:
+        return inside[x.node] or x.heading and x.node in above or x.heading == 1 and page.parents[x.node] in above or (x.prose or x.heading) and beside in (x.node, page.parents[x.node])
+
+    return " ".join(x.text for x, f in zip(lines, free, strict=True) if f and kept(x))
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -33,6 +33,22 @@ def test_pages(body, want):
     assert main_text(body) == want
 
 
+LEAD, LAST = "A short lead of a few words.", "So it ends."
+BODY = "<div class='body'>" + f"<p>{P1}</p><p>{P2}</p>" * 4 + "</div>"
+BODY_TEXT = " ".join([P1, P2_TEXT] * 4)
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    (f"{MENU}<div id='content'><div class='lead'><p>{P1}</p></div>{BODY}</div>{FOOT}", f"{P1} {BODY_TEXT}"),
+    (f"{MENU}<div id='content'><div class='lead'><p>{LEAD}</p></div>{BODY}<div class='end'><p>{LAST}</p></div></div>{FOOT}", f"{LEAD} {BODY_TEXT} {LAST}"),
+    (f"{MENU}<div id='content'><section><h2>One</h2><p>{LAST}</p></section><section><h2>Two</h2>{BODY}</section><section><h2>Three</h2><p>{P1}</p></section></div>{FOOT}", f"One {LAST} Two {BODY_TEXT} Three {P1}"),
+    (f"{MENU}<main><div class='lead'><p>{LEAD}</p></div><article>{BODY}</article><div><p>{LAST}</p></div></main>{FOOT}", f"{LEAD} {BODY_TEXT} {LAST}"),
+    (f"<div><div><a href='/'>Home</a> <a href='/x'>Other pages</a></div><div>{BODY}</div><div>Imprint</div></div>", BODY_TEXT),
+])
+def test_small_blocks_beside_the_largest_are_kept(body, want):
+    assert main_text(FRAME % body) == want
+
+
 def test_defined_cases():
     assert [main_text(x) for x in (None, "", "   ", "plain", "<", "<p", "<![bad", "<script>x", "<!-- x", "&amp;")] == ["", "", "", "plain", "<", "", "", "", "", "&"]
     assert main_text(MENU + FOOT) == ""
