@@ -10,7 +10,8 @@ and so are paragraphs right beside a region that is no article or main element,
 
 Lines inside menus, page headers, footers, sidebars, forms, scripts, notices, adverts or reader comments (by tag,
 role, class or id, or hidden) never count as content and are never returned; nor are lists of links alone. An
-article's own header belongs to it, its footer and asides do not. If no line is marked, all remaining lines are
+article's own header belongs to it, its footer and asides do not; ids of its headings, paragraphs and sections (often
+made from titles) say nothing, unless they name a section of reader comments. If no line is marked, all remaining lines are
 returned. Unfinished markup at the end of a page is dropped. White space inside a block becomes one space; blocks are joined by one. Null or empty pages give "".
 """
 
@@ -43,7 +44,7 @@ CLOSES = {
 }
 SCOPE = CONTAINERS | frozenset("aside blockquote button dialog footer form header li nav th".split())
 DROPPED_TAGS = frozenset(
-    "aside audio button canvas dialog footer form head iframe input label legend math menu nav noscript object option script select style svg template textarea title video".split()
+    "aside audio button canvas dialog footer form head iframe input label legend menu nav noscript object option script select style svg template textarea title video".split()
 )
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of class or id names that mark what is not the article.
@@ -59,6 +60,9 @@ HEADER_ENDS = ("header", "masthead", "topbar")
 ARTICLE_WORDS = frozenset("article content entry post story".split())
 #: Words that drop an article element too.
 ARTICLES_DROPPED = frozenset("ad ads comment comments promo promoted related reply replies sponsored teaser widget".split())
+#: Tags whose ids inside an article are anchors, and the words of ids that mark a section as comments all the same.
+ANCHORED = HEADINGS | frozenset("p section".split())
+COMMENT_IDS = frozenset("commentform commentlist comments disqus replies respond".split())
 KEPT_TAGS = frozenset("html body main".split())
 #: Unclosed boxes of these tags end where an article or main element starts.
 ENDS_AT_ARTICLE = frozenset("div header nav p section span ul".split())
@@ -94,6 +98,8 @@ def why_dropped(tag: str, attributes: list[tuple[str, str | None]], in_article:
         value = (value or "").lower()
         if name in ("class", "id"):
             words = _NAME.findall(_HIDING.sub(" ", value))
+            if name == "id" and in_article and tag in ANCHORED and not (tag == "section" and COMMENT_IDS.issuperset(words)):
+                continue
             found = {w for w in words if w in DROPPED_WORDS or w.endswith(DROPPED_ENDS)}
             if not in_article and not ARTICLE_WORDS.intersection(words):
                 found |= {w for w in words if w.endswith(HEADER_ENDS)}

@@ -49,6 +49,16 @@ def test_small_blocks_beside_the_largest_are_kept(body, want):
     assert main_text(FRAME % body) == want
 
 
+@pytest.mark.parametrize(("body", "want"), [
+    (f"<article><p>{P1}</p><h2 id='related-work'>Related work</h2><p id='notice-1'>{P2}</p><section id='social-impact'><p>{P1}</p></section></article>", f"{P1} Related work {P2_TEXT} {P1}"),
+    (f"<article><p>{P1}</p><section id='comments'><p>{P2}</p></section><section class='related'><p>{P2}</p></section><div id='share'>{P2}</div></article>", P1),
+    (f"<article><p>{P1}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p><math><mtext><p>{P2}</p></mtext></math></article>", f"{P1} Let x=1 hold. {P2_TEXT}"),
+    (f"<section id='related-work'><p>{P1}</p></section><div><p>{P2}</p></div>", P2_TEXT),
+])
+def test_ids_and_formulas_inside_an_article(body, want):
+    assert main_text(FRAME % body) == want
+
+
 def test_defined_cases():
     assert [main_text(x) for x in (None, "", "   ", "plain", "<", "<p", "<![bad", "<script>x", "<!-- x", "&amp;")] == ["", "", "", "plain", "<", "", "", "", "", "&"]
     assert main_text(MENU + FOOT) == ""
