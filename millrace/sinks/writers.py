@@ -87,8 +87,9 @@ def upsert_batch(table: str, keys: list[str], options: dict, dialect: str = "mys
             cursor.executemany(sql, [tuple(r[c] for c in columns) for r in group])
             client.commit()
 
-        # rows of a key go to one task, so that no two transactions wait for each other
-        df.dropDuplicates(keys).foreachPartition(_partition_writer(options, size, write))
+        # rows of a key go to one task in the batch's order: no two transactions wait for each other, and the last row stays
+        placed = df.withColumn("_mr_at", F.monotonically_increasing_id()).repartition(*keys).sortWithinPartitions("_mr_at")
+        placed.select(*columns).foreachPartition(_partition_writer(options, size, write))
 
     return each
 

@@ -95,6 +95,15 @@ def test_upserts(spark, tmp_path):
     assert writers.upsert_sql("t", ["id", "x"], ["id"]) == "INSERT INTO t (id, x) VALUES (%s, %s) ON DUPLICATE KEY UPDATE x = VALUES(x)"
 
 
+def test_the_last_row_of_a_key_is_upserted_last(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "db.sqlite") as con:
+        con.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT)")
+    rows = [(i % 3, f"{i:03}") for i in range(300)]
+    writers.upsert_batch("t", ["id"], {"client": "tests.fakes:sqlite", "dir": str(tmp_path)}, "sqlite", 7)(spark.createDataFrame(rows, "id int, name string").coalesce(1), 0)
+    with sqlite3.connect(tmp_path / "db.sqlite") as con:
+        assert con.execute("SELECT id, name FROM t ORDER BY id").fetchall() == [(0, "297"), (1, "298"), (2, "299")]
+
+
 def test_key_value_and_search_sinks(spark, tmp_path, options):
     df = spark.createDataFrame([(1, 30.5), (2, None)], "id int, temperature double")
     writers.key_value_batch(options, "temperature")(df, 0)
