@@ -2,7 +2,7 @@
 
 Kinds in order: email, ip, card, phone (the base kinds), iban, ssn. Patterns propose the leftmost non-overlapping
 spans of a kind; they are written so that no start is tried twice and no group recurses, whatever the text. Then
-ip parts must be at most 255, cards hold 12 to 19 digits that pass Luhn, phones 9 to 15 digits, ibans pass mod-97.
+ip parts must be at most 255, cards hold 12 to 19 digits that pass Luhn, phones 9 to 15 digits, ibans (of the length their country fixes) pass mod-97.
 Each span has a score: its kind's prior, raised where a word of the kind's context stands in the CONTEXT code
 points before it. Base spans stay whatever their score; the others need KEEP_SCORE.
 
@@ -21,12 +21,33 @@ KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = 4
 CONTEXT, BONUS, KEEP_SCORE = 48, 0.3, 0.6
 
+#: Characters of an account number by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Whole or in fours, as long as the country says; of other countries as long as it goes."""
+
+    def body(length: int) -> str:
+        fours, rest = divmod(length - 4, 4)
+        return rf"(?:[A-Z0-9]{{{length - 4}}}|(?:\x20[A-Z0-9]{{4}}){{{fours}}}{rf'\x20[A-Z0-9]{{{rest}}}' if rest else ''})"
+
+    known = {n: f"(?:{codes.replace(' ', '|')})" for n, codes in _IBAN_LENGTHS.items()}
+    fixed = "|".join(f"{codes}[0-9]{{2}}{body(n)}" for n, codes in known.items())
+    other = rf"(?!{'|'.join(known.values())})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}+|(?:\x20[A-Z0-9]{{4}}){{2,7}}+(?:\x20[A-Z0-9]{{1,3}})?+)"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{fixed}|{other})(?![A-Za-z0-9])"
+
+
 _PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?+)(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A cheap condition without which the pattern can't match.

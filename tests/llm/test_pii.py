@@ -48,6 +48,15 @@ def test_checksums_and_context(spark):
     assert rows[3][0][2] == 0.6 and rows[4][0][2] == 0.9
 
 
+def test_ibans_end_where_their_country_says(spark):
+    ibans = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "SE45 5000 0000 0583 9825 7466", "PL61 1090 1014 0000 0712 1981 2874", "CZ65 0800 0000 1920 0014 5399", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    after = ["", " BIC KREDBEBB", " BANK", " 2024", " A", ".", " XY1"]
+    texts = [f"IBAN {i}{a}" for i in ibans for a in after] + [f"IBAN {i.replace(' ', '')}{a}" for i in ibans for a in after]
+    rows = pii.find(documents(spark, texts)).orderBy("doc_id").collect()
+    want = [[i] for i in ibans for _ in after] + [[i.replace(" ", "")] for i in ibans for _ in after]
+    assert [[r.text[s.start : s.end] for s in r.pii_spans if s.kind == "iban"] for r in rows] == want
+
+
 def test_empty_table_and_clashing_column(spark):
     assert pii.find(documents(spark, [])).count() == 0
     clash = spark.createDataFrame([(1, "a@b.c", 3)], "doc_id int, text string, PII_spans int")
