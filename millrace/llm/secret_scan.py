@@ -28,7 +28,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _TOKEN = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,]*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?")
+#: Between its borders a key may have `Name: value` lines, each with continuation lines, before the base64 part.
+_KEY = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:\s*+(?:(?:[A-Za-z][A-Za-z0-9-]*+:|[\x20\t])(?:(?!-----)[^\n])*+\n)*+"
+    r"(?:[A-Za-z0-9+/=\s:,]|-(?!----))*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?"
+)
 
 _WORDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",),
           "token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), "key": ("-----begin",)}

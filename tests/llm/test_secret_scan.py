@@ -47,6 +47,15 @@ def test_checksum_decides():
     assert secret_scan.find(SECRETS[-1], HITS)[0][1] == 4
 
 
+def test_encrypted_keys_are_masked_whole(spark):
+    body = "Q0vPk5Jw2m+/aZ" * 4 + "\n" + "aGVsbG8=\n"
+    heads = ["Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B2C3D4E5F60718293A4B5C6D7E8F9\n\n", "Proc-Type: 4,ENCRYPTED\r\nDEK-Info: DES-EDE3-CBC,0A1B\r\n\r\n", "Comment: \"a key (v2.1) of mine\"\n  and more_of_it\n", "Proc-Type: 4,ENCRYPTED DEK-Info: AES-256-CBC,0A1B ", ""]
+    texts = [f"a -----BEGIN RSA PRIVATE KEY-----\n{h}{body}-----END RSA PRIVATE KEY----- z" for h in heads]
+    open_ended = "a -----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n-----BEGIN PRIVATE KEY-----\nMIIB\n-----END PRIVATE KEY----- z"
+    out = secret_scan.redact(documents(spark, [*texts, open_ended])).orderBy("doc_id")
+    assert [r.text for r in out.collect()] == ["a <key> z"] * len(heads) + ["a <key>\nProc-Type: 4,ENCRYPTED\n<key> z"]
+
+
 def test_redaction(spark):
     docs = documents(spark, [None, "", "plain", "a token = abcdefgh1 b", "k " + TOKEN])
     out = secret_scan.redact(docs).orderBy("doc_id")
