@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one is set only where the session names none."""
+    """The folder that all executors share; where the session names none, a local session gets a temporary one and a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="millrace-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -60,17 +62,19 @@ def slices(batch: pa.RecordBatch, at: int, most: int = SLICE_BYTES) -> Iterator[
     yield batch.slice(begin)
 
 
-def add_from_text(df: DataFrame, text: str, fields: list[T.StructField], start: Callable[[], Callable]) -> DataFrame:
+def add_from_text(df: DataFrame, text: str, fields: list[T.StructField], start: Callable[[], Callable], keep_text: bool = True) -> DataFrame:
     """`df` with `fields` computed from column `text` in Arrow batches.
 
     `start()` runs once in each task and returns a function from an Arrow string (or list) array to the
-    arrays of the new fields. Columns of `df` with a new field's name are replaced.
+    arrays of the new fields. Columns of `df` with a new field's name are replaced. Without `keep_text` the text
+    itself is left out, and so never sent back by the Python workers.
     """
     kept = without(df, [f.name for f in fields])
     if text.lower() not in {c.lower() for c in kept.columns}:
         raise ValueError(f"a new field has the name of the text column: {text}")
     at = [c.lower() for c in kept.columns].index(text.lower())
-    schema = T.StructType([*kept.schema.fields, *fields])
+    passed = [i for i in range(len(kept.columns)) if keep_text or i != at]
+    schema = T.StructType([*[kept.schema.fields[i] for i in passed], *fields])
 
     def run(batches):
         import pyarrow.compute  # noqa: F401  (slices() needs it loaded)
@@ -79,7 +83,7 @@ def add_from_text(df: DataFrame, text: str, fields: list[T.StructField], start:
         for batch in batches:
             for piece in slices(batch, at):
                 if piece.num_rows:
-                    yield pa.RecordBatch.from_arrays([*piece.columns, *work(piece.column(at))], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*[piece.column(i) for i in passed], *work(piece.column(at))], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 

@@ -1,11 +1,14 @@
+import re
 import time
+from html import unescape
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.main_text import extract, main_text, smoothed, threshold
+from millrace.llm import main_text as module
+from millrace.llm.main_text import content, extract, main_text, smoothed, threshold
 
 P1 = "The first paragraph says a good many words about a river and its mill."
 P2 = "A second one carries on for quite some time &amp; ends with <b>bold</b>ness."
@@ -22,7 +25,7 @@ FOOT = "<footer>&copy; 2020 someone &middot; A long line of legal words that nob
     (f"<article><p>{P1}</p><form><p>Your name <input><button>Send</button></form><p>{P2}</p></article><section class='comments'><article><p>{P1} I disagree with all of this.</p></article></section>", f"{P1} {P2_TEXT}"),
     (f"<div class='cookie-banner'>We use cookies. {P1}</div><div role='complementary'>{P1}</div><div style='display: none'>{P1}</div><p>{P1}</p><p>{P2}</p>", f"{P1} {P2_TEXT}"),
     (f"<div class='ad'><p>Never closed {MENU}<article class='has-sidebar'><p>{P1}</p><ul><li>one</li><li><a>two</a></li></ul></article>", f"{P1} one two"),
-    (f"<article><p>{P1}</p><ul><li><a href=x>More A</a><li><a href=y>More B</a><li><a href=z>More C</a></ul><p>{P2}</p></article>", f"{P1} {P2_TEXT}"),
+    (f"<article><p>{P1}</p><ul><li><a href=x>More A</a><li><a href=y>More B</a><li><a href=z>More C</a></ul><p>{P2}</p></article>", f"{P1} More A More B More C {P2_TEXT}"),
     (f"<table><tr><td>{MENU}</td><td><p>{P1}</p><p>{P2}</p></td></tr></table>", f"{P1} {P2_TEXT}"),
     (f"<div class='siteHeader'>Site name and slogan</div><div class='post-header'><h1>Title</h1></div><div class='post'><p>{P1}</p><p>{P2}</p><div class='commentlist'><p>{P1}</p></div></div><div id='pageFooter'>{P1}</div>", f"Title {P1} {P2_TEXT}"),
     (f"<div class='page'><div class='notice'>Maintenance tonight from ten to eleven.</div><article class='post hentry'><header><h1>Title</h1></header><p>{P1}</p><p>{P2}</p><footer>Filed under things</footer></article><article class='teaser'><p>{P1}</p></article></div>", f"Title {P1} {P2_TEXT}"),
@@ -59,6 +62,87 @@ def test_ids_and_formulas_inside_an_article(body, want):
     assert main_text(FRAME % body) == want
 
 
+SOURCES = "<ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li><li><a href=c>Third source</a></li></ul>"
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    # lists of links: kept in an article, a menu outside of one
+    (f"<article><p>{P1}</p><h2>Sources</h2>{SOURCES}</article>", f"{P1} Sources First source Second source Third source"),
+    (f"<main><p>{P1}</p>{SOURCES}<p>{P2}</p></main>", f"{P1} First source Second source Third source {P2_TEXT}"),
+    (f"<article><p>{P1}</p><nav>{SOURCES}</nav><p>{P2}</p></article>", f"{P1} {P2_TEXT}"),
+    (f"<article><p>{P1}</p><div class='related-posts'>{SOURCES}</div></article>", P1),
+    (f"<div><p>{P1}</p>{SOURCES}<p>{P2}</p></div>", f"{P1} {P2_TEXT}"),
+    (f"<article><p>{P1}</p><ol><li>one</li><li><a href=x>two</a></li><li>three</li></ol></article>", f"{P1} one two three"),
+    # class names that only look like boxes
+    (f"<article><p>{P1}</p><p class='related-work'>{P2}</p></article>", f"{P1} {P2_TEXT}"),
+    (f"<article><p>{P1}</p><p class='notice-period'>{P2}</p></article>", f"{P1} {P2_TEXT}"),
+    (f"<article><p>{P1}</p><div class='social-impact'><p>{P2}</p></div></article>", f"{P1} {P2_TEXT}"),
+    (f"<article><p>{P1}</p><p class='share-of-profit lead'>{P2}</p></article>", f"{P1} {P2_TEXT}"),
+    (f"<div><p class='related-work'>{P1}</p><p class='skip-list'>{P2}</p></div>", f"{P1}"),
+    (f"<article><p>{P1}</p><p class='notice'>{P2}</p></article>", P1),
+    (f"<article><p>{P1}</p><div class='share-buttons'>{P2}</div><div class='social-share'>x</div></article>", P1),
+    (f"<article><p>{P1}</p><div class='newsletter-signup'><p>{P2}</p></div></article>", P1),
+    # boxes inside a paragraph
+    ("<article><p>One river <span hidden>not this</span> and one mill that turns all day long.</p></article>", "One river and one mill that turns all day long."),
+    ("<article><p>One river <span style='display:none'>not this</span>and one mill.</p></article>", "One river and one mill."),
+    ("<article><p>One river<span class=advert> not this </span> and one mill.</p></article>", "One river and one mill."),
+    ("<article><p>One river <noscript>no script here</noscript>and one mill.</p></article>", "One river and one mill."),
+    ("<article><p>One river <svg><title>icon</title><text>drawn</text></svg> and one mill.</p></article>", "One river and one mill."),
+    ("<article><p>One river <label>pick</label> and one mill.</p></article>", "One river and one mill."),
+    ("<article><p>One <span aria-hidden='true'>*</span>river <i>and</i> one <b hidden>x</b>mill.</p></article>", "One river and one mill."),
+    ("<article><p><span hidden>not this</span>One river.</p><p>And one mill<span hidden>x</span></p></article>", "One river. And one mill"),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article>", "Let x=1 be."),
+    # depth does not matter
+    ("<article><h1>" + "<span>" * 9 + "Title" + "</span>" * 9 + f"</h1><p>{P1}</p></article>", f"Title {P1}"),
+    ("<div><ul>" + "".join(f"<li>{'<b>' * 8}<a href=x>{'<i>' * 9}Page {i}{'</i>' * 9}</a>{'</b>' * 8}</li>" for i in range(4)) + f"</ul><p>{P1}</p><p>{P2}</p></div>", f"{P1} {P2_TEXT}"),
+    # frames around the article
+    (f"<div role='banner'>{P1}</div><div role='main'><p>{P1}</p><p>{P2}</p></div><div role='contentinfo'>{P1}</div>", f"{P1} {P2_TEXT}"),
+    (f"{MENU}<article><header><h1>Title</h1><p>By someone</p></header><p>{P1}</p></article>{FOOT}", f"Title By someone {P1}"),
+    (f"<article><p>{P1}</p><figure><img src=x><figcaption>A mill.</figcaption></figure><blockquote>{P2}</blockquote></article>", f"{P1} A mill. {P2_TEXT}"),
+    (f"<article><p>{P1}</p><pre>a  b\n c</pre><table><tr><th>k</th><td>v</td></tr></table></article>", f"{P1} a b c k v"),
+    (f"<article><p>{P1}</p></article><div id='comments'><p>{P2 * 9}</p></div>", P1),
+    (f"<article><p>Short.</p></article><div class='comments'><p>{P1 * 30}</p></div>{FOOT}", "Short."),
+    (f"<article><p>{P1}<script>var a = '<p>x</p>';</script><style>p {{}}</style> More.</p><template><p>{P2}</p></template></article>", f"{P1} More."),
+    (f"<article><dl><dt>Term<dd>{P1}</dl><form><label>Name</label><textarea>{P2}</textarea></form></article>", f"Term {P1}"),
+    (f"<div class='cookie'>{P1}</div><div class='wrap'><div class='entry-content'><p>{P1}</p><p>{P2}</p></div></div><div class='widget'>{P1}</div>", f"{P1} {P2_TEXT}"),
+])
+def test_expected_texts(body, want):
+    assert main_text(FRAME % body) == want
+    assert main_text(body) == want
+
+
+@pytest.fixture(scope="module")
+def real():
+    import pyarrow.parquet as pq
+
+    return pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+
+
+def expected(html):
+    """The article of a page as the test tables write it: its blocks and nothing else."""
+    article = html[html.index("<article>") + 9 : html.index("</article>")]
+    return " ".join(" ".join(unescape(re.sub("<[^>]+>", "", block)).split()) for block in re.split(r"</?(?:p|h1|br)\b[^>]*>", article) if re.sub("<[^>]+>", "", block).strip())
+
+
+def test_given_pages_give_their_articles(real):
+    assert [main_text(x) for x in real] == [expected(x) for x in real]
+
+
+@pytest.mark.parametrize("change", [lambda s: np.ones(len(s), bool), lambda s: content(-s)], ids=["no threshold", "negated"])
+def test_without_the_threshold_many_pages_change(real, monkeypatch, change):
+    right = [main_text(x) for x in real]
+    monkeypatch.setattr(module, "content", change)
+    assert sum(main_text(x) != r for x, r in zip(real, right)) > 0.9 * len(real)
+
+
+def test_ratios_find_articles_that_no_name_marks(real, monkeypatch):
+    bare = [re.sub('class="ad"', "", re.sub(r"<(/?)(?:nav|footer|article)\b", r"<\1div", x)) for x in real]
+    right = [expected(x) for x in real]
+    assert sum(main_text(x) == r for x, r in zip(bare, right)) > 0.8 * len(real)
+    monkeypatch.setattr(module, "smoothed", lambda r: np.ones(len(r)))
+    assert sum(main_text(x) == r for x, r in zip(bare, right)) < 0.1 * len(real)
+
+
 def test_defined_cases():
     assert [main_text(x) for x in (None, "", "   ", "plain", "<", "<p", "<![bad", "<script>x", "<!-- x", "&amp;")] == ["", "", "", "plain", "<", "", "", "", "", "&"]
     assert main_text(MENU + FOOT) == ""
