@@ -3,8 +3,10 @@
 Each text is counted in its own row; nothing of its words is shuffled. A text fails the base rules if it has fewer
 than MIN_WORDS words or more than MAX_REPEAT_PERCENT percent of its words lie in five-word windows that the text
 holds twice or more. Failures are then aggregated by host. Raw host rates of small hosts are noise, so they are
-shrunk with a beta prior fitted to all hosts by moments (weighted by host size); a host whose posterior mean is at
-or above HOST_LIMIT is rejected, and its documents with it.
+shrunk with a beta prior fitted to all hosts by moments (weighted by host size). The prior says how hosts of this
+corpus vary, so it sets the limit too: a host whose posterior mean lies more than LIMIT_DEVIATIONS of its standard
+deviations above its mean, or above HOST_LIMIT in any case, is rejected, and its documents with it. (By Cantelli's
+inequality at most a tenth of a prior's hosts lie above three deviations, of a bell-shaped one about a thousandth.)
 
 Words are runs of anything but ASCII white space. Null texts have no words (and fail). Documents without a host
 (null) form a host of their own. Windows are compared by 64-bit hashes of their words' hashes. Repeated rows
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, without
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
-#: Posterior failure rate at which a host is rejected.
-HOST_LIMIT = 0.6
+#: Standard deviations of the fitted prior above its mean beyond which a host's shrunk rate is rejected; and the rate beyond which any is.
+LIMIT_DEVIATIONS, HOST_LIMIT = 3.0, 0.6
 #: Bounds of the prior's strength, in documents.
 PRIOR_MIN, PRIOR_MAX = 2.0, 200.0
 #: Rejected hosts up to which their names are broadcast.
@@ -75,7 +77,12 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def host_verdicts(counted: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def host_limit(mean: float, strength: float, most: float = HOST_LIMIT, deviations: float = LIMIT_DEVIATIONS) -> float:
+    """The shrunk rate above which a host is rejected, under a beta prior of this mean and strength."""
+    return min(most, mean + deviations * (mean * (1 - mean) / (strength + 1)) ** 0.5)
+
+
+def host_verdicts(counted: DataFrame, host: str = "source", most: float = HOST_LIMIT, deviations: float = LIMIT_DEVIATIONS) -> DataFrame:
     """(host, n_docs, n_failed, host_rate, rejected): the shrunk rate of every host."""
     hosts = counted.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("bigint")).alias("n_failed"))
     hosts = cut(hosts)
@@ -86,7 +93,7 @@ def host_verdicts(counted: DataFrame, host: str = "source", limit: float = HOST_
     ).first()
     mean, strength = beta_prior(sums.n or 0, sums.x or 0, sums.k, sums.q or 0.0, sums.n2 or 0.0)
     posterior = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    return hosts.select("host", "n_docs", "n_failed", posterior.alias("host_rate"), (posterior >= limit).alias("rejected"))
+    return hosts.select("host", "n_docs", "n_failed", posterior.alias("host_rate"), (posterior > host_limit(mean, strength, most, deviations)).alias("rejected"))
 
 
 def beta_prior(n: int, failed: int, hosts: int, squares: float, sizes: float) -> tuple[float, float]:
@@ -102,11 +109,11 @@ def beta_prior(n: int, failed: int, hosts: int, squares: float, sizes: float) ->
     return mean, max(PRIOR_MIN, min(PRIOR_MAX, noise / between - 1)) if between > 0 else PRIOR_MAX
 
 
-def judge(df: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", host: str = "source", most: float = HOST_LIMIT, deviations: float = LIMIT_DEVIATIONS) -> DataFrame:
     """`df` (less `text`) with COUNTS, base_failed, host_rejected and kept."""
     own = without(df, [*COUNTS, "base_failed", "host_rejected", "kept"])
     counted = cut(with_counts(own, text).drop(text))
-    bad = cut(host_verdicts(counted, host, limit).where("rejected").select(F.col("host").alias("_mr_host"), F.lit(True).alias("_mr_bad")))
+    bad = cut(host_verdicts(counted, host, most, deviations).where("rejected").select(F.col("host").alias("_mr_host"), F.lit(True).alias("_mr_bad")))
     small = bad.count() <= BROADCAST_HOSTS
     joined = counted.join(F.broadcast(bad) if small else bad, F.col(host).eqNullSafe(F.col("_mr_host")), "left")
     rejected = F.coalesce("_mr_bad", F.lit(False))

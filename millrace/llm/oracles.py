@@ -23,7 +23,7 @@ hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::D
 moments AS (SELECT sum(n) AS n, sum(x) / sum(n) AS m, count(*) AS k, sum(x * x / n) AS q, sum(n * n) AS n2 FROM hosts),
 spread AS (SELECT m, m * (1 - m) AS noise, (q - n * m * m - (k - 1) * m * (1 - m)) / nullif(n - n2 / n - (k - 1), 0) AS b FROM moments),
 prior AS (SELECT m, CASE WHEN b > 0 THEN greatest({host_rules.PRIOR_MIN}, least({host_rules.PRIOR_MAX}, noise / b - 1)) ELSE {host_rules.PRIOR_MAX} END AS s FROM spread),
-verdicts AS (SELECT source, (x + m * s) / (n + s) >= {host_rules.HOST_LIMIT} AS rejected FROM hosts, prior)
+verdicts AS (SELECT source, (x + m * s) / (n + s) > least({host_rules.HOST_LIMIT}, m + {host_rules.LIMIT_DEVIATIONS} * sqrt(m * (1 - m) / (s + 1))) AS rejected FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source"""
 
