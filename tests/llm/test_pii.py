@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from millrace.llm import pii
 from tests.llm.samples import ODD, documents, noise
@@ -61,3 +64,50 @@ def test_empty_table_and_clashing_column(spark):
     assert pii.find(documents(spark, [])).count() == 0
     clash = spark.createDataFrame([(1, "a@b.c", 3)], "doc_id int, text string, PII_spans int")
     assert pii.find(clash).collect()[0].pii_spans[0].kind == "email"
+
+
+def test_context_decides_on_both_sides(spark):
+    texts = ["my account 12345678 here", "12345678 is the account", "order 12345678 for your account", "plain 12345678", "born 1990-02-03", "published 1990-02-03", "on 3.2.1990 (date of birth)",
+             "DE89370400440532013000", "an invalid iban: DE89370400440532013000", "not an example DE89370400440532013000", "order +1 555 010 9999", "ssn 123-45-6789 and 123-45-6780"]
+    rows = pii.find(documents(spark, texts)).orderBy("doc_id").collect()
+    got = [[(s.kind, round(s.score, 1)) for s in r.pii_spans] for r in rows]
+    assert got == [[("account", 0.6)], [("account", 0.6)], [], [], [("born", 0.6)], [], [("born", 0.6)],
+                   [("iban", 0.8)], [("iban", 0.8)], [], [("phone", 0.3)], [("ssn", 0.7)]]
+
+
+def test_context_changes_documents(spark, monkeypatch):
+    texts = [f"{w} 1234567{i}" for i, w in enumerate(["account", "order", "the", "passport", "born"])] + ["ssn 123-45-6789", "123-45-6789"]
+    spans = lambda: [len(r.pii_spans) for r in pii.find(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert spans() == [1, 0, 0, 1, 0, 1, 0]
+    monkeypatch.setattr(pii, "BONUS", 0.0)
+    assert spans() == [0] * 7
+
+
+def test_context_ends_at_the_next_match(spark):
+    rows = pii.find(documents(spark, ["phone +1 555 010 9999, +1 555 010 9998"])).collect()
+    assert [round(s.score, 1) for s in rows[0].pii_spans] == [0.9, 0.6]
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 127, 128, 129, 400, 128 * 128 + 130, 40_000):
+        got = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(max(1, n))), lambda i: (i % 7).cast("bigint")).alias("a")).select(F.slice("a", 1, n).alias("a") if n else F.array().cast("array<bigint>").alias("a"))
+        out = got.select("a", F.expr(pii.running("a")).alias("s")).first()
+        want, total = [], 0
+        for x in out.a:
+            want.append(total)
+            total += x
+        assert out.s == want, n
+
+
+def test_a_megabyte_of_addresses_takes_seconds(spark):
+    text = "10.20.30.40 " * 87_500  # 1.05 MB
+    docs = documents(spark, [text])
+    began = time.time()
+    row = pii.find(docs).select(F.size("pii_spans").alias("n"), F.element_at("pii_spans", -1)["start"].alias("last")).first()
+    assert (row.n, row["last"]) == (87_500, 12 * 87_499)
+    assert time.time() - began < 30
+
+
+def test_repeated_rows_and_ties(spark):
+    rows = pii.find(documents(spark, ["a@b.co 1.2.3.4"] * 3)).collect()
+    assert len({str(r.pii_spans) for r in rows}) == 1 and [s.kind for s in rows[0].pii_spans] == ["email", "ip"]
