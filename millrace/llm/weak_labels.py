@@ -1,14 +1,17 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote on each text: good, bad, or nothing. Expectation-maximisation over the counts of vote
-patterns of all documents (patterns are few whatever the corpus; only their counts reach the driver) estimates how
-often each labeller gives each vote to good and to bad documents, and so the posterior of every pattern. The
-posteriors then train a linear scorer over hashed features, on a sample of at most `sample` documents (SAMPLE,
-drawn by hash from the whole table). The scorer reads every whole text; documents that score under one half are
-rejected.
+Heuristic labellers vote on each text: good, bad, or nothing. Their limits are loose on purpose, so that most of them
+also fire on some good documents and several fire on one bad document: no single vote decides. Expectation-maximisation
+over the counts of vote patterns of all documents (at most 3 ** labellers patterns, whatever the corpus; only their counts
+reach the driver) estimates how often each labeller gives each vote to good and to bad documents, and so the posterior
+of every pattern. The posteriors then train a linear scorer over hashed features, on a sample of at most `sample`
+documents (SAMPLE, drawn by hash from the whole table). Documents that score under one half are rejected.
+
+Every whole text is read once; its votes and its few features are kept as a checkpoint, from which the votes are
+counted, the sample is drawn and the scores are computed.
 
 The gold labels are not used to fit anything. Null texts are empty; texts without words are rejected. A table that
-gives no sample scores by the pattern posteriors alone. Repeated rows score alike.
+gives no sample scores by the pattern posteriors alone. Repeated rows score alike. Columns named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import add_from_text
+from millrace.llm.common import add_from_text, cut, without
 
 #: Documents that train the scorer, at most; buckets of its features.
 SAMPLE, BUCKETS = 12_000, 1 << 14
@@ -62,31 +65,28 @@ class Reading:
         n = self.n = len(words)
         self.shapes = Counter(data.translate(_SHAPE).split())
         counted = Counter(words)
-        self.distinct = len(counted)
-        pairs = set(zip(words, words[1:], strict=False))
         lines = [x for x in data.split(b"\n") if x.strip()]
         few = n < FEW_WORDS
-        share = lambda x: x / max(1, n)
-        chars = max(1, len(data))
+        total, chars = max(1, n), max(1, len(data))
         symbols = (len(data) - len(data.translate(None, _SYMBOLS))) / chars
-        capitals = share(sum(k for s, k in self.shapes.items() if b"AA" in s and b"a" not in s))
-        shouts, bars = data.count(b"!") / max(1, n), share(words.count(b"|"))
-        repeats = 1 - len(pairs) / (n - 1) if n > 1 else 0.0
-        variety = share(self.distinct)
+        capitals = sum(k for s, k in self.shapes.items() if b"AA" in s and b"a" not in s) / total
+        shouts, bars = data.count(b"!") / total, counted[b"|"] / total
+        repeats = 1 - len(set(zip(words, words[1:], strict=False))) / (n - 1) if n > 1 else 0.0
+        variety = len(counted) / total
         same = 1 - len(set(lines)) / len(lines) if lines else 0.0
-        known = share(sum(k for w, k in counted.items() if w.strip(b".,;:!?\"'()").lower() in _FUNCTION_BYTES))
-        length = sum(map(len, words)) / max(1, n)
+        known = sum(k for w, k in counted.items() if w.strip(b".,;:!?\"'()").lower() in _FUNCTION_BYTES) / total
+        length = sum(map(len, words)) / total
         self.values = {"symbols": symbols, "capitals": capitals, "shouts": shouts, "bars": bars, "repeats": repeats, "variety": variety, "lines": same, "function_words": known, "word_length": length}
         self.votes = (
-            _vote(n > 0, symbols > 0.03, symbols < 0.02),
-            _vote(not few, capitals > 0.3, capitals < 0.2),
-            _vote(not few, shouts > 0.3, shouts < 0.2),
-            _vote(not few, bars > 0.1, bars < 0.05),
-            _vote(n >= 2 * FEW_WORDS, repeats > 0.3, repeats < 0.1),
-            _vote(n >= 40, variety < 0.35, variety > 0.6),
-            _vote(len(lines) > 3, same > 0.4, same < 0.2),
-            _vote(n >= 30, known < 0.03, known > 0.07),
-            _vote(not few, not 3 <= length <= 8.5, 3.5 <= length <= 7.5),
+            _vote(not few, symbols > 0.004, symbols < 0.002),
+            _vote(n >= 2 * FEW_WORDS, capitals > 0.05, capitals < 0.02),
+            _vote(not few, shouts > 0.02, shouts < 0.01),
+            _vote(n > 3, bars > 0.01, bars < 0.005),
+            _vote(n >= 2 * FEW_WORDS, repeats > 0.15, repeats < 0.06),
+            _vote(n >= 2 * FEW_WORDS, variety < 0.6, variety > 0.68),
+            _vote(len(lines) > 2, same > 0.3, same < 0.2),
+            _vote(n >= 2 * FEW_WORDS, known < 0.16, known > 0.2),
+            _vote(n >= 2 * FEW_WORDS, not 4.4 <= length <= 6.6, 4.6 <= length <= 6.3),
         )
 
     def features(self) -> dict[int, float]:
@@ -94,11 +94,11 @@ class Reading:
         out: dict[int, float] = {}
         total = max(1, self.n)
         for shape, k in self.shapes.items():
-            b = _shape_bucket(shape) if len(shape) <= 40 else bucket("long")
+            b = _shape_bucket(shape) if len(shape) <= 40 else _shape_bucket.__wrapped__(shape)
             out[b] = out.get(b, 0.0) + k / total
         for name, v in self.values.items():
             out[bucket(f"{name}:{_step(name, v)}")] = 1.0
-        out[bucket(f"n:{min(self.n, 1 << 16).bit_length()}")] = 1.0
+        out[bucket(f"n:{self.n.bit_length()}")] = 1.0
         return out
 
 
@@ -106,7 +106,8 @@ _FUNCTION_BYTES = frozenset(w.encode() for w in FUNCTION_WORDS)
 
 
 def _step(name: str, value: float) -> int:
-    return int(value) if name == "word_length" else int(min(value, 1.0) * 20)
+    """Whole lengths; shares by the square root, which tells small ones apart."""
+    return int(value) if name == "word_length" else int(value**0.5 * 20)
 
 
 @lru_cache(1 << 16)
@@ -181,70 +182,78 @@ def train(rows: list[tuple[list[int], list[float], float]]) -> np.ndarray:
     return w
 
 
-def vote_patterns(df: DataFrame, text: str = "text", pattern: str = "pattern") -> DataFrame:
-    def start():
-        return lambda column: [pa.array([pattern_number(Reading(t or "").votes) for t in column.to_pylist()], pa.int32())]
-
-    return add_from_text(df, text, [T.StructField(pattern, T.IntegerType())], start)
+_FIELDS = [
+    T.StructField("_mr_pattern", T.IntegerType()), T.StructField("_mr_words", T.LongType()),
+    T.StructField("_mr_buckets", T.ArrayType(T.IntegerType())), T.StructField("_mr_weights", T.ArrayType(T.DoubleType())),
+]
 
 
-def _sample(df: DataFrame, text: str, total: int, most: int) -> list[tuple[int, list[int], list[float]]]:
-    parts = 1 << 20
-    share = min(parts, -(-most * parts * 9 // (10 * max(1, total)))) if total > most else parts
-    drawn = df.where(F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(parts)) < share).select(F.col(text).alias("text")).limit(most)
+def with_readings(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """`df` with each text's vote pattern, word count and hashed features."""
 
     def start():
         def work(column):
             read = [Reading(t or "") for t in column.to_pylist()]
             found = [r.features() for r in read]
-            return [
-                pa.array([pattern_number(r.votes) for r in read], pa.int32()),
-                pa.array([list(f) for f in found], pa.list_(pa.int32())),
-                pa.array([list(f.values()) for f in found], pa.list_(pa.float32())),
-            ]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            buckets = np.fromiter((b for f in found for b in f), np.int32, int(ends[-1]))
+            weights = np.fromiter((v for f in found for v in f.values()), np.float64, int(ends[-1]))
+            listed = lambda values: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            return [pa.array([pattern_number(r.votes) for r in read], pa.int32()), pa.array([r.n for r in read], pa.int64()), listed(buckets), listed(weights)]
 
         return work
 
-    fields = [T.StructField("pattern", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.FloatType()))]
-    return [tuple(r) for r in add_from_text(drawn, "text", fields, start).select("pattern", "buckets", "weights").toLocalIterator()]
+    return add_from_text(df, text, _FIELDS, start, keep_text)
+
+
+def drawn(readings: DataFrame, total: int, most: int, key: Column) -> DataFrame:
+    """At most `most` rows of features, drawn by the hash of `key` from all of them."""
+    parts = 1 << 20
+    share = min(parts, -(-most * parts * 9 // (10 * max(1, total)))) if total > most else parts
+    return readings.where(F.pmod(key, F.lit(parts)) < share).select("_mr_pattern", "_mr_buckets", "_mr_weights").limit(most)
 
 
-def fit(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> tuple[VoteModel, np.ndarray | None]:
-    counted = dict(vote_patterns(df.select(text), text, "_mr_pattern").groupBy("_mr_pattern").count().collect())
+def fit(readings: DataFrame, key: Column, sample: int = SAMPLE) -> tuple[VoteModel, np.ndarray | None]:
+    counted = dict(readings.groupBy("_mr_pattern").count().collect())
     numbers = sorted(counted)
     votes = np.array([pattern_votes(p) for p in numbers], int).reshape(-1, len(LABELLERS))
     model = VoteModel(votes, np.array([counted[p] for p in numbers], float))
-    drawn = _sample(df.select(doc_id, text), text, sum(counted.values()), sample)
-    if not drawn:
+    rows = [tuple(r) for r in drawn(readings, sum(counted.values()), sample, key).toLocalIterator()]
+    if not rows:
         return model, None
-    good = 1 - model.posterior(np.array([pattern_votes(p) for p, _, _ in drawn]))
-    return model, train([(b, v, g) for (_, b, v), g in zip(drawn, good.tolist(), strict=True)])
+    good = 1 - model.posterior(np.array([pattern_votes(p) for p, _, _ in rows]))
+    return model, train([(b, v, g) for (_, b, v), g in zip(rows, good.tolist(), strict=True)])
 
 
-def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, limit: float = LIMIT) -> DataFrame:
-    """`df` with quality_posterior (of the votes), quality_score (of the scorer; 1 is good) and quality_ok."""
-    model, weights = fit(df, text, doc_id, sample)
-    shared = df.sparkSession.sparkContext.broadcast((model, weights))
+def scores(buckets: pa.ListArray, weights: pa.ListArray, model: np.ndarray) -> np.ndarray:
+    """The scorer's probability of good for lists of features."""
+    counts = pa.compute.list_value_length(buckets).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(counts)), counts)
+    sums = np.bincount(rows, model[buckets.flatten().to_numpy()] * weights.flatten().to_numpy(), len(counts)) + model[-1]
+    return 1 / (1 + np.exp(-np.clip(sums, -50, 50)))
 
-    def start():
-        model, weights = shared.value
-        posterior = lru_cache(1 << 16)(lambda votes: 1 - float(model.posterior(np.array([votes]))[0]))
 
-        def work(column):
-            posts, scores, kept = [], [], []
-            for t in column.to_pylist():
-                r = Reading(t or "")
-                p = posterior(r.votes)
-                s = p
-                if weights is not None:
-                    x = weights[-1] + sum(weights[b] * v for b, v in r.features().items())
-                    s = float(1 / (1 + np.exp(-min(50.0, max(-50.0, x)))))
-                posts.append(p)
-                scores.append(s)
-                kept.append(bool(r.n) and s >= limit)
-            return [pa.array(posts, pa.float64()), pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())]
+def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, limit: float = LIMIT, keep_text: bool = True) -> DataFrame:
+    """`df` with quality_posterior (of the votes), quality_score (of the scorer; 1 is good) and quality_ok."""
+    names = ["quality_posterior", "quality_score", "quality_ok"]
+    own = without(df, [*names, *[f.name for f in _FIELDS], "_mr_draw"]).withColumn("_mr_draw", F.xxhash64(doc_id, text))
+    readings = cut(with_readings(own, text, keep_text))
+    model, weights = fit(readings, F.col("_mr_draw"), sample)
+    shared = df.sparkSession.sparkContext.broadcast((model, weights))
+    passed = [c for c in readings.columns if c not in {"_mr_draw", *[f.name for f in _FIELDS]}]
+    used = ["_mr_pattern", "_mr_words", "_mr_buckets", "_mr_weights"]
+    schema = T.StructType([*readings.select(*passed).schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
 
-        return work
+    def run(batches):
+        import pyarrow.compute  # noqa: F401
 
-    fields = [T.StructField("quality_posterior", T.DoubleType()), T.StructField("quality_score", T.DoubleType()), T.StructField("quality_ok", T.BooleanType())]
-    return add_from_text(df, text, fields, start)
+        model, weights = shared.value
+        for batch in batches:
+            pattern, words, buckets, values = batch.columns[-4:]
+            number, which = np.unique(pattern.to_numpy(), return_inverse=True)
+            posterior = (1 - model.posterior(np.array([pattern_votes(p) for p in number.tolist()], int).reshape(-1, len(LABELLERS))))[which]
+            found = posterior if weights is None else scores(buckets, values, weights)
+            kept = (words.to_numpy() > 0) & (found >= limit)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(posterior), pa.array(found), pa.array(kept)], names=schema.names)
+
+    return readings.select(*passed, *used).mapInArrow(run, schema)
