@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import struct
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from millrace.llm.common import add_from_text
+from millrace.llm.pieces import PieceTable, flattened
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens whose ids a worker remembers.
-CACHE_ENTRIES = 200_000
-#: Longer pre-tokens are not remembered.
-CACHE_CHARS = 64
 
 _BYTE_CHARS = {b: chr(0x100 + b) for b in range(256)}
 
@@ -78,7 +74,7 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 class Encoder:
-    """Encodes text by pre-tokens; keeps the ids of recent short ones."""
+    """Encodes text by pre-tokens; keeps the ids of those it has met."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -88,7 +84,7 @@ class Encoder:
         self.ids_of_pieces = sorted(ranks.values())
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.pretokens = regex.compile(pattern).findall
-        self.cache: dict[str, list[int]] = {}
+        self.table = PieceTable(lambda tokens: flattened(self.encode_pretokens(tokens)))
 
     def encode_pretokens(self, tokens: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = [None] * len(tokens)
@@ -104,36 +100,13 @@ class Encoder:
                 out[i] = [self.ids_of_pieces[p] for p in pieces]
         return out
 
-    def lookup(self, tokens: list[str]) -> list[list[int]]:
-        cache = self.cache
-        missing = [t for t in tokens if t not in cache]
-        known = dict(zip(missing, self.encode_pretokens(missing), strict=True))
-        out = [known[t] if t in known else cache[t] for t in tokens]
-        if len(cache) + len(known) > CACHE_ENTRIES:
-            cache.clear()
-        cache.update((t, ids) for t, ids in known.items() if len(t) <= CACHE_CHARS)
-        return out
-
     def encode(self, texts: list[str]) -> pa.ListArray:
         tokens: list[str] = []
         ends = [0]
         for text in texts:
             tokens += self.pretokens(text)
             ends.append(len(tokens))
-        return join_by_document(pa.array(tokens, pa.string()), np.array(ends), self.lookup, pa.int32())
-
-
-def join_by_document(tokens: pa.Array, ends: np.ndarray, lookup, kind: pa.DataType) -> pa.ListArray:
-    """The ids of each document: `lookup` sees every distinct token once, the rest is array gathering."""
-    coded = tokens.dictionary_encode()
-    ids = lookup(coded.dictionary.to_pylist())
-    starts = np.fromiter(accumulate(map(len, ids), initial=0), np.int64, len(ids) + 1)
-    flat = np.fromiter((x for part in ids for x in part), np.int32, int(starts[-1]))
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    lengths = np.diff(starts)[codes]
-    upto = np.concatenate(([0], np.cumsum(lengths)))
-    source = np.arange(upto[-1]) + np.repeat(starts[:-1][codes] - upto[:-1], lengths)
-    return pa.ListArray.from_arrays(pa.array(upto[ends], pa.int32()), pa.array(flat[source], kind))
+        return self.table.joined(self.table.numbered(tokens), np.array(ends))
 
 
 class Decoder:
@@ -171,17 +144,17 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", keep_text: bool = True) -> DataFrame:
     """`df` with an array<int> column `ids` of each text's token ids; `path` is read on every executor."""
 
     def start():
         encoder = _encoder(path, pattern)
         return lambda column: [encoder.encode(column.fill_null("").to_pylist())]
 
-    return add_from_text(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType(), False))], start)
+    return add_from_text(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType(), False))], start, keep_text)
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", data: str = "decoded") -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", data: str = "decoded", keep_text: bool = True) -> DataFrame:
     """`df` with each text's ids and the bytes that these ids decode to, in one pass."""
 
     def start():
@@ -195,7 +168,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
 
         return work
 
-    return add_from_text(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(data, T.BinaryType())], start)
+    return add_from_text(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(data, T.BinaryType())], start, keep_text)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", data: str = "decoded") -> DataFrame:

@@ -5,17 +5,19 @@ the concatenated id array, select samples, and that id array in 16 or 32 bits. T
 each end packed and the rest in unary; `Segment.end(i)` selects the i-th one bit from a sample every SAMPLE
 documents and a popcount scan, so an offset is found without a table of 64-bit offsets.
 
-`write` sorts the documents by id (nulls first; equal ids by text hash), encodes them where they land and hands
+`write` encodes the documents, sorts their ids by document (null ids as the least; equal ones by text hash) and hands
 the images to Spark's own writer, one row (part, segment, counts, image) each, under a folder that all executors
 share. So a retried or duplicated task leaves nothing behind, and any store that Spark reaches will do. `read`
 streams documents back from the images; starts are prefix sums over the segments' id counts.
 
 Null texts are empty: they hold the end id only. Repeated rows and ids each keep a place of their own. An empty
-table gives an empty store.
+table gives an empty store. Other columns, whatever their names, are not read. Texts are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -26,14 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.byte_bpe import join_by_document
 from millrace.llm.common import shared_dir, slices
+from millrace.llm.pieces import PieceTable, flattened
+from millrace.llm.sharding import LEAST, ranks
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Ids in a segment before it is closed.
 SEGMENT_IDS = 4_000_000
 SAMPLE = 64
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
 #: Segments up to which their places are broadcast to the reading tasks.
 BROADCAST_SEGMENTS = 50_000
 
@@ -119,61 +124,150 @@ class Segment:
         return (places - np.arange(self.n) << self.low) + lows
 
 
-class WordEncoder:
-    """A tokenizer file whose normaliser drops white space, applied to ASCII-separated words.
+#: What a tokenizer file must hold for its words to be encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+_MODEL = {"type": "BPE", "dropout": None, "end_of_word_suffix": "</w>", "continuing_subword_prefix": None}
+
+
+class TextEncoder:
+    """Whole texts through the tokenizers library: right for any file."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        ids, lengths = flattened([e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(ids))
+
+
+class WordEncoder(TextEncoder):
+    """Files of the known form, by words.
 
     No merge, normalisation or pre-token crosses ASCII white space, nor the place between an ASCII letter and an
     ASCII symbol other than an apostrophe, and case does not matter; so the ids of a text are those of its
-    lower-cased pieces in turn. Each distinct piece of a batch goes to the library once, and short ones are
-    remembered.
+    lower-cased pieces in turn, and each distinct piece goes to the library once. Texts that hold an added token go
+    there whole.
     """
 
-    CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
     LETTER_SYMBOL = r"([a-z])([!-&(-/:-@\[-`{-~])"
+    #: Words that the library gets in one text.
+    JOINED = 2000
+
+    def __init__(self, tokenizer, added: list[str]):
+        super().__init__(tokenizer)
+        self.added = "|".join(re.escape(x) for x in added)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.joinable = all(letter + "</w>" in vocabulary for letter in _byte_letters())
+        self.table = PieceTable(self.code)
+
+    def code(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of Latin letters alone are one pre-token each, whose last id ends a word; they go to the library joined."""
+        plain = [self.joinable and x.isalpha() and max(x) < "\u0100" for x in pieces]
+        words = [x for x, p in zip(pieces, plain, strict=True) if p]
+        lines = [" ".join(words[i : i + self.JOINED]) for i in range(0, len(words), self.JOINED)]
+        ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        ends = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a word's last id does not end a word")
+        if len(words) == len(pieces):
+            return flat, np.diff(ends, prepend=0)
+        others = iter(self.tokenizer.encode_batch_fast([x for x, p in zip(pieces, plain, strict=True) if not p], add_special_tokens=False))
+        cut = iter(np.split(flat, ends[:-1]) if words else ())
+        parts = [next(cut) if p else np.array(next(others).ids, np.int32) for p in plain]
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        whole = pa.compute.match_substring_regex(texts, self.added) if self.added else pa.array(np.zeros(len(texts), bool))
+        some = pa.compute.any(whole).as_py()
+        own = pa.compute.if_else(whole, "", texts) if some else texts
+        spaced = pa.compute.replace_substring_regex(pa.compute.ascii_lower(own), self.LETTER_SYMBOL, r"\1 \2")
+        words = pa.compute.ascii_split_whitespace(spaced)
+        coded = words.flatten().dictionary_encode()
+        numbers = self.table.numbered(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        out = self.table.joined(numbers[coded.indices.to_numpy(zero_copy_only=False)], words.offsets.to_numpy() - words.offsets[0].as_py())
+        if not some:
+            return out
+        texts_of = iter(super().encode(texts.filter(whole)).to_pylist())
+        return pa.array([next(texts_of) if w else ids for w, ids in zip(whole.to_pylist(), out.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, list[int]] = {}
 
-    def lookup(self, words: list[str]) -> list[list[int]]:
-        cache = self.cache
-        missing = [w for w in words if w not in cache]
-        coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False) if missing else []
-        known = {w: e.ids for w, e in zip(missing, coded, strict=True)}
-        out = [known[w] if w in known else cache[w] for w in words]
-        if len(cache) + len(known) > self.CACHE_ENTRIES:
-            cache.clear()
-        cache.update((w, ids) for w, ids in known.items() if len(w) <= self.CACHE_CHARS)
-        return out
+def _byte_letters() -> list[str]:
+    """The characters by which a byte-level vocabulary writes the bytes: printable ones stand for themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return [chr(b) for b in printable] + [chr(256 + i) for i in range(256 - len(printable))]
 
-    def encode(self, texts: pa.Array) -> pa.ListArray:
-        spaced = pa.compute.replace_substring_regex(pa.compute.ascii_lower(texts), self.LETTER_SYMBOL, r"\1 \2")
-        words = pa.compute.ascii_split_whitespace(spaced)
-        return join_by_document(words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py(), self.lookup, pa.int32())
 
+def encoder_of(path: str, special_text: bool = False) -> TextEncoder:
+    """By words where the file's parts are those that allow it, else by whole texts. special_text: strings of added tokens are ordinary text."""
+    from tokenizers import Tokenizer
 
-_ENCODERS: dict[str, WordEncoder] = {}
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = special_text
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    added = parts.get("added_tokens") or []
+    fits = parts.get("normalizer") == _NORMALIZER and parts.get("pre_tokenizer") == _PRE_TOKENIZER and all(parts["model"].get(k) == v for k, v in _MODEL.items())
+    if not fits or any(t["normalized"] or not _LETTER_BEFORE_SYMBOL.search(t["content"]) for t in added):
+        return TextEncoder(tokenizer)
+    return WordEncoder(tokenizer, [t["content"] for t in added])
 
 
-def _encoder(path: str) -> WordEncoder:
+#: Added tokens that no piece can hold whole, in any case.
+_LETTER_BEFORE_SYMBOL = re.compile(r"[A-Za-z][!-&(-/:-@\[-`{-~]")
+_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
+
+
+def _encoder(path: str, special_text: bool = False) -> TextEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    key = (path, special_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = encoder_of(path, special_text)
+    return _ENCODERS[key]
+
 
+def _coded(path: str, end_id: int, special_text: bool, splits):
+    """From rows (doc_id, id, h, text) to (range, doc_id, id, h, width, ids): the ids and the end id of each text, in 16 bits if the vocabulary allows, else in 32."""
 
-def _images(path: str, end_id: int, segment_ids: int):
     def run(batches):
         import pyarrow.compute  # noqa: F401
 
-        encoder, part, number = _encoder(path), TaskContext.get().partitionId(), 0
+        encoder, bounds = _encoder(path, special_text), np.array(splits.value, np.int64).reshape(-1, 2)
+        width = 2 if max(end_id + 1, encoder.tokenizer.get_vocab_size(with_added_tokens=True)) <= 1 << 16 else 4
+        for batch in batches:
+            for piece in slices(batch, 3, SLICE):
+                if not piece.num_rows:
+                    continue
+                coded = encoder.encode(piece.column(3).fill_null(""))
+                counts = np.diff(coded.offsets.to_numpy().astype(np.int64)) + 1
+                ends = np.cumsum(counts)
+                ids = np.full(int(ends[-1]), end_id, f"<u{width}")
+                mine = np.ones(ids.size, bool)
+                mine[ends - 1] = False
+                ids[mine] = coded.flatten().to_numpy()
+                offsets = (np.concatenate(([0], ends)) * width).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                place = ranks([piece.column(1).to_numpy(), piece.column(2).to_numpy()], bounds)
+                columns = [pa.array(place, pa.int32()), *piece.columns[:3], pa.array(np.full(len(ends), width, np.int32)), data]
+                yield pa.RecordBatch.from_arrays(columns, names=["range", "doc_id", "id", "h", "width", "ids"])
+
+    return run
+
+
+def _images(segment_ids: int):
+    """From sorted rows (doc_id, width, ids) to images of at least `segment_ids` ids, but for a part's last."""
+
+    def run(batches):
+        part, number, size = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
 
         def close():
             doc_ids, nulls, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -183,19 +277,13 @@ def _images(path: str, end_id: int, segment_ids: int):
             })
 
         for batch in batches:
-            for piece in slices(batch, 1):
+            for piece in slices(batch, 2):
                 if not piece.num_rows:
                     continue
-                coded = encoder.encode(piece.column(1).fill_null(""))
-                bounds = coded.offsets.to_numpy().astype(np.int64)
-                flat = coded.values.to_numpy()
-                counts = np.diff(bounds) + 1
-                ids = np.full(flat.size + len(counts), end_id, np.uint32)
-                mine = np.ones(ids.size, bool)
-                mine[np.cumsum(counts) - 1] = False
-                ids[mine] = flat
-                keys = piece.column(0)
-                held.append((keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False), counts, ids))
+                keys, width, data = piece.column(0), piece.column(1)[0].as_py(), piece.column(2)
+                offsets = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)
+                ids = np.frombuffer(data.buffers()[2], f"<u{width}", int(offsets[-1] - offsets[0]) // width, int(offsets[0]))
+                held.append((keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False), np.diff(offsets).astype(np.int64) // width, ids.astype(np.uint32)))
                 size += ids.size
                 if size >= segment_ids:
                     yield close()
@@ -206,16 +294,30 @@ def _images(path: str, end_id: int, segment_ids: int):
     return run
 
 
+def _bounds(keyed: DataFrame, n: int) -> list[tuple[int, int]]:
+    """The least key of each of n ranges of like numbers of rows, but for the first; one key a range is all that the driver gets."""
+    ranged = keyed.select("id", "h").repartitionByRange(n, "id", "h")
+    least = ranged.groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct("id", "h")).alias("key")).collect()
+    return sorted((r.key.id, r.key.h) for r in least)[1:]
+
+
 def write(df: DataFrame, tokenizer: str, store: str | None = None, doc_id: str = "doc_id", text: str = "text",
-          end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, partitions: int | None = None) -> str:
-    """Write `df` as a segment store; returns its folder (a new one in the shared folder if none is given)."""
+          end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, partitions: int | None = None, special_text: bool = False) -> str:
+    """Write `df` as a segment store; returns its folder (a new one in the shared folder if none is given).
+
+    The bounds of the ranges come from the keys alone; texts are then encoded where they are read, and only their ids are
+    exchanged, once. special_text: see `encoder_of`.
+    """
     spark = df.sparkSession
     store = store or f"{shared_dir(spark).rstrip('/')}/token-store-{uuid.uuid4().hex}"
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    placed = keyed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    number = F.col(doc_id).cast("bigint")
+    keyed = df.select(number.alias("doc_id"), F.coalesce(number, F.lit(LEAST)).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    splits = spark.sparkContext.broadcast(_bounds(keyed, n))
+    coded = keyed.mapInArrow(_coded(tokenizer, end_id, special_text, splits), "range int, doc_id bigint, id bigint, h bigint, width int, ids binary")
+    placed = coded.repartitionById(n, "range").sortWithinPartitions("id", "h").select("doc_id", "width", "ids")
     schema = "part int, segment int, n_docs bigint, n_ids bigint, image binary"
-    placed.mapInArrow(_images(tokenizer, end_id, segment_ids), schema).write.parquet(store)
+    placed.mapInArrow(_images(segment_ids), schema).write.parquet(store)
     return store
 
 

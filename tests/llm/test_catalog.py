@@ -80,7 +80,6 @@ def test_op7(spark, docs):
 
 def test_op9(spark, docs):
     theirs, start = Tokenizer.from_file(P.path(token_store.VOCABULARY)), 0
-    theirs.encode_special_tokens = True
     rows = catalog.QUERIES["op9_token_store"](spark, SMALL).orderBy("doc_id").collect()
     assert [r.doc_id for r in rows] == sorted(docs)
     for r in rows:
