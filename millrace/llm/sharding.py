@@ -8,10 +8,11 @@ only if keeping the text whole would miss the target by more than `group_toleran
 block sums only: at most PROBES sums a splitter and round.
 
 Then the narrow rows (key, size, checksum; no text) are exchanged once, straight to the partition of their range;
-shards of many rows have several ranges, so that no task orders a whole shard. Slots are positions in that order.
+shards of many rows have several ranges, so that no task orders a whole shard. Slots are positions in that order,
+counted where the rows arrive.
 
 Size is the UTF-8 bytes of the text (null: none) plus 8. Null doc_ids sort first. Repeated rows have places of
-their own. An empty table gives no rows. Law: "bytes"; rows are neither dropped nor sampled.
+their own. Other columns, whatever their names, are not read. An empty table gives no rows. Law: "bytes"; rows are neither dropped nor sampled.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut
@@ -35,7 +36,7 @@ RANGE_ROWS, SHARD_RANGES = 250_000, 64
 ROW_OVERHEAD = 8
 
 _KEY = ("h", "id", "row")
-_LEAST = -(1 << 63)
+LEAST = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,7 @@ class Block:
             if not key:
                 return ((1 << 63) - 1,) * 3
             key[-1] += 1
-        return tuple([*key, *[_LEAST] * (3 - len(key))])
+        return tuple([*key, *[LEAST] * (3 - len(key))])
 
 
 @dataclass
@@ -160,7 +161,7 @@ def shard(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int
         (F.octet_length(data) + ROW_OVERHEAD).cast("bigint").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.xxhash64(data).alias("h"),
-        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LEAST)).alias("id"),
+        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LEAST)).alias("id"),
         F.monotonically_increasing_id().alias("row"),
     ))
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
@@ -174,16 +175,17 @@ def shard(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=[*batch.schema.names, "range"])
 
     ranged = keys.mapInArrow(place, "doc_id bigint, size bigint, text_crc32 bigint, h bigint, id bigint, row bigint, range int")
-    sent = cut(ranged.repartitionById(shards * per_shard, "range"))
-    counts = dict(sent.groupBy("range").count().collect())
+    sent = ranged.repartitionById(shards * per_shard, "range").sortWithinPartitions("range", "h", "id", "row")
+    # a partition holds one range in order, so the low bits of these ids are places in it
+    ordered = cut(sent.withColumn("order", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = dict(ordered.groupBy("range").count().collect())
     before, offsets = 0, []
     for i in range(shards * per_shard):
         before = 0 if i % per_shard == 0 else before
         offsets.append((i, before))
         before += counts.get(i, 0)
     offset = df.sparkSession.createDataFrame(offsets, "range int, before bigint")
-    order = F.row_number().over(Window.partitionBy("range").orderBy("h", "id", "row")) - 1
-    placed = sent.withColumn("order", order).join(F.broadcast(offset), "range")
+    placed = ordered.join(F.broadcast(offset), "range")
     return placed.select(
         "doc_id", "size", "text_crc32", (F.col("range") / per_shard).cast("int").alias("shard"), (F.col("order") + F.col("before")).cast("bigint").alias("slot")
     )

@@ -1,7 +1,9 @@
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from millrace.llm import sharding
 from tests.llm.samples import ODD, documents, noise
@@ -66,5 +68,50 @@ def test_ranks_compare_all_columns():
 def test_extreme_keys():
     top = sharding.Block((), 0, (1 << 63) - 1)
     inner = sharding.Block((3,), 0, (1 << 63) - 1)
-    assert inner.edge(True) == (4, sharding._LEAST, sharding._LEAST)
+    assert inner.edge(True) == (4, sharding.LEAST, sharding.LEAST)
     assert top.edge(False)[0] == (1 << 63) - 1
+
+
+def brute_splits(rows, shards, per_shard, tolerance, group_tolerance):
+    """Where each splitter may stand: positions in the sorted rows, by plain prefix sums."""
+    rows = sorted(rows)
+    below = [0]
+    for r in rows:
+        below.append(below[-1] + r[3])
+    total, out = below[-1], []
+    for j in range(1, shards * per_shard):
+        at, loose = total * j / (shards * per_shard), 0.1 * total / (shards * per_shard) if j % per_shard else 0.0
+        groups = [i for i in range(len(rows) + 1) if i in (0, len(rows)) or rows[i - 1][0] != rows[i][0]]
+        near = [i for i in range(len(rows) + 1) if abs(below[i] - at) <= max(loose, tolerance * total / shards)]
+        whole = [i for i in groups if abs(below[i] - at) <= max(loose, group_tolerance * total / shards)]
+        best = min(abs(b - at) for b in below)
+        out.append({*near, *whole, *(i for i in range(len(rows) + 1) if abs(below[i] - at) == best)})
+    return rows, out
+
+
+@pytest.mark.parametrize(("seed", "kinds", "per_shard"), [(1, 400, 1), (2, 5, 1), (3, 60, 3), (4, 1, 1)])
+def test_splitters_stand_where_plain_prefix_sums_allow(spark, seed, kinds, per_shard):
+    rng = np.random.default_rng(seed)
+    h = rng.integers(-(1 << 62), 1 << 62, kinds)
+    keys = [(int(h[rng.integers(kinds)]), int(rng.integers(300)), i, int(rng.integers(8, 400))) for i in range(700)]
+    rows, allowed = brute_splits(keys, 6, per_shard, 0.005, 0.025)
+    table = spark.createDataFrame(keys, "h bigint, id bigint, row bigint, size bigint")
+    found = sharding.splitters(table, sum(k[3] for k in keys), 6, per_shard, 0.005, 0.025)
+    places = [sum(r[:3] < tuple(edge) for r in rows) for edge in found]
+    assert places == sorted(places) and all(p in a for p, a in zip(places, allowed, strict=True))
+
+
+def test_rows_are_exchanged_once(spark, monkeypatch):
+    plans, cut = [], sharding.cut
+    monkeypatch.setattr(sharding, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    out = sharding.shard(documents(spark, noise(3, 60)), shards=4)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert [len(re.findall(r"(?<!Broadcast)Exchange (?!SinglePartition)", p)) for p in plans] == [0, 1, 0]
+    assert "Window" not in "".join(plans)
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    rows = [(1, "x" * 3_000_000, 1, "r"), (2, None, 2, "r"), (3, "y", 3, "r")]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string, SIZE int, range string"), shards=2).collect()
+    assert sorted((r.doc_id, r.size) for r in out) == [(1, 3_000_008), (2, 8), (3, 9)]
+    verify(out, shards=2)
