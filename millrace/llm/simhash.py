@@ -8,8 +8,8 @@ distinct fingerprint goes to one shard per choice of k slices, keyed by their bi
 fingerprints so that shards stay small. In each shard a BK-tree (children keyed by their integer Hamming distance
 to the parent) is built and every fingerprint follows only edges within the radius. Subtrees that already lie in
 the searcher's component are skipped, since only reachability counts; a shard thus returns at most one link a
-fingerprint. Shards above SHARD_CODES fingerprints are split, and each pair of parts is searched in a task of its
-own. The trees are built where their shard is, not broadcast from the driver: all fingerprints together grow with
+fingerprint. Shards above SHARD_CODES fingerprints are split into parts; the tree of a part is searched for up to
+RIGHT_PARTS later parts at a time, in a task of their own. The trees are built where their shard is, not broadcast from the driver: all fingerprints together grow with
 the corpus. Components of the links are then taken over distinct fingerprints.
 
 Null texts have no words. Repeated rows share a component. component_id is the smallest doc_id reachable; nulls
@@ -32,6 +32,8 @@ from millrace.llm.components import components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in one tree before its shard is split.
 SHARD_CODES = 3000
+#: Parts of a split shard that are searched for in one building of another part's tree.
+RIGHT_PARTS = 8
 #: Mean fingerprints that the slices leave in a shard.
 SHARD_MEAN = 48
 
@@ -58,13 +60,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(counts * 2 > len(starts), bitorder="little").tobytes(), "little")
 
 
-def with_fingerprint(df: DataFrame, text: str = "text", code: str = "code", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str = "text", code: str = "code", shingle: int = SHINGLE, seed: int = SEED, keep_text: bool = True) -> DataFrame:
     """`df` with the fingerprint as a signed bigint."""
 
     def start():
         return lambda column: [pa.array(np.array([fingerprint(t, shingle, seed) for t in column.to_pylist()], np.uint64).view(np.int64))]
 
-    return add_from_text(df, text, [T.StructField(code, T.LongType())], start)
+    return add_from_text(df, text, [T.StructField(code, T.LongType())], start, keep_text)
 
 
 class BkTree:
@@ -144,13 +146,11 @@ class BkTree:
 
 
 def tree_links(left: list[int], right: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links within `left`, or from each code of `right` to every component of `left` that it reaches."""
+    """Links within `left`, and from each code of `right` to every component of `left` that it reaches."""
     tree = BkTree(left, radius)
     inner = tree.connect()
-    if not right:
-        return inner
     tree.settle()
-    return [(code, left[j]) for code in right for j in tree.reach(code, set())]
+    return inner + [(code, left[j]) for code in right for j in tree.reach(code, set())]
 
 
 def slicing(n: int, radius: int, mean: int = SHARD_MEAN) -> tuple[int, int]:
@@ -212,10 +212,12 @@ def links(codes: DataFrame, n: int, radius: int = RADIUS, shard_codes: int = SHA
         dealt = sharded.select("*", F.lit(0).cast("bigint").alias("pair"), F.lit(True).alias("left"))
     else:
         placed = sharded.join(large, ["choice", "bits"], "left").fillna(1, ["parts"])
-        placed = placed.withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")))
-        others = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)))
-        pair = F.least("part", "other") * F.lit(1 << 31) + F.greatest("part", "other")
-        dealt = others.select("code", "choice", "bits", pair.alias("pair"), (F.col("part") <= F.col("other")).alias("left"))
+        part, parts = F.pmod(F.xxhash64("code"), F.col("parts")), F.col("parts").cast("bigint")
+        group = F.floor(F.col("part") / RIGHT_PARTS)
+        own = F.transform(F.sequence(group, F.floor((parts - 1) / RIGHT_PARTS)), lambda g: F.struct(F.col("part").alias("tree"), g.alias("group"), F.lit(True).alias("left")))
+        others = F.when(F.col("part") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("part") - 1), lambda t: F.struct(t.alias("tree"), group.alias("group"), F.lit(False).alias("left"))))
+        roles = placed.withColumn("part", part).withColumn("role", F.explode(F.concat(own, F.coalesce(others, F.array().cast("array<struct<tree:bigint,group:bigint,left:boolean>>")))))
+        dealt = roles.select("code", "choice", "bits", (F.col("role.tree") * F.lit(1 << 31) + F.col("role.group")).alias("pair"), "role.left")
     spread = dealt.repartition("choice", "bits", "pair").sortWithinPartitions("choice", "bits", "pair")
     return spread.mapInArrow(_search(radius), "u bigint, v bigint").distinct()
 
@@ -228,12 +230,16 @@ def _as_links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def _labelled(df: DataFrame, text: str, doc_id: str, radius: int, shingle: int, seed: int) -> DataFrame:
     """(doc_id, text_hash, code, root, component_id) of every row; root is a code of the component."""
     own = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_mr_text"))
-    docs = cut(with_fingerprint(own, "_mr_text", "code", shingle, seed).select("doc_id", "text_hash", "code"))
+    docs = cut(with_fingerprint(own, "_mr_text", "code", shingle, seed, keep_text=False).select("doc_id", "text_hash", "code"))
     codes = cut(docs.groupBy("code").agg(F.min("doc_id").alias("first")))
     roots = components(links(codes, codes.count(), radius)).select(F.col("node").alias("code"), "root")
-    rooted = codes.join(roots, "code", "left").select("code", "first", F.coalesce("root", "code").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = cut(rooted.join(least, "root").select("code", "root", "component_id"))
+    linked = cut(codes.join(roots, "code"))
+    # cut, so that the join by root reads two plain exchanges (or broadcasts the minima) and a large component is split over tasks
+    least = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
+    grouped = linked.join(least, "root").select("code", "root", "component_id")
+    alone = F.col("root").isNull()
+    named = codes.join(grouped, "code", "left").select("code", F.when(alone, F.col("code")).otherwise(F.col("root")).alias("root"), F.when(alone, F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    labels = cut(named)
     return docs.join(labels, "code")
 
 

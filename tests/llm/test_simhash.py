@@ -62,7 +62,7 @@ def near_codes(seed, n, flips=3):
 
 
 def test_trees_and_shards_reach_what_all_pairs_reach(spark):
-    for n, size in ((400, 3000), (400, 7)):
+    for n, size in ((400, 3000), (400, 7), (300, 1)):
         codes = near_codes(n + size, n)
         signed = [c - (1 << 64) if c >> 63 else c for c in codes]
         df = spark.createDataFrame([(c,) for c in signed], "code bigint")
@@ -127,3 +127,11 @@ def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 200), (7, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 140)}
+
+
+def test_a_large_component_is_joined_by_plain_exchanges(spark, monkeypatch):
+    plans, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    simhash.near_duplicates(table(spark))
+    for p in plans:
+        assert not ("hashpartitioning(root" in p and "Join" in p and "HashAggregate" in p), p
