@@ -19,7 +19,7 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(byte_bpe.VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN).select(
+    return byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep_text=False).select(
         "doc_id",
         F.size("token_ids").cast("bigint").alias("n_tokens"),
         sha(F.array_join(F.col("token_ids").cast("array<string>"), ",")).alias("ids_sha256"),
@@ -39,7 +39,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = text_or_empty(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     base = secret_scan.KINDS[: secret_scan.BASE]
-    return secret_scan.scan(docs).select(
+    return secret_scan.scan(docs, keep_text=False).select(
         "doc_id",
         *[count_kind("secret_spans", k).alias(f"n_{k}") for k in base],
         sha(joined_spans("secret_spans", base)).alias("base_sha256"),
@@ -55,6 +55,8 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count_kind("pii_spans", k).alias(f"n_{k}") for k in base],
         sha(joined_spans("pii_spans", base)).alias("base_sha256"),
         joined_spans("pii_spans").alias("spans"),
+        F.size("pii_spans").cast("bigint").alias("all_spans"),
+        F.array_join(F.transform("pii_spans", lambda s: F.format_string("%.1f", s["score"])), ",").alias("scores"),
     )
 
 
@@ -67,7 +69,7 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.array_join(F.sort_array(F.col("item_ids").cast("array<string>")), ",")
-    return decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).select(
+    return decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), keep_text=False).select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -84,7 +86,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = weak_labels.score(docs)
+    scored = weak_labels.score(docs, keep_text=False)
     return scored.select("doc_id", F.round("quality_posterior", 6).alias("posterior"), F.round("quality_score", 6).alias("score"), F.col("quality_ok").alias("kept"))
 
 

@@ -10,8 +10,10 @@ Words are maximal runs of ASCII letters, digits and any character beyond ASCII,
 and texts without words have no words, no hits and are not contaminated. A window that several items hold
 counts for each of them. Items with a null id hit words but are not listed; repeated ids are listed once.
 
-The benchmark goes to the executors in blocks of at most BLOCK_CHARS characters; one block is broadcast in one
-pass over the documents, and more blocks take a pass each, joined per distinct (id, text).
+The benchmark goes to the executors in blocks of at most BLOCK_CHARS characters (or one item). Its size is summed in
+the cluster first: a benchmark of one block is broadcast in one pass over the documents; a larger one takes a pass a
+block, each held and dropped before the next is fetched, and the hits, kept as checkpoints, are joined per distinct
+(id, text). Repeated documents are judged alike; columns named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import add_from_text, without
+from millrace.llm.common import add_from_text, cut, without
 
 WINDOW = 10
 #: Characters of benchmark text in one broadcast block.
@@ -124,7 +126,7 @@ FIELDS = [
 ]
 
 
-def _scan(df: DataFrame, text: str, items: list[tuple], window: int, ranges: bool) -> DataFrame:
+def _scan(df: DataFrame, text: str, items: list[tuple], window: int, ranges: bool, keep_text: bool = True) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(items)
     fields = [*FIELDS, T.StructField("hit_ranges", _RANGES)] if ranges else FIELDS
 
@@ -142,7 +144,7 @@ def _scan(df: DataFrame, text: str, items: list[tuple], window: int, ranges: boo
 
         return work
 
-    return add_from_text(df, text, fields, start)
+    return add_from_text(df, text, fields, start, keep_text)
 
 
 _BUILT: dict = {}
@@ -158,15 +160,16 @@ def _tables(shared, window: int) -> Benchmark:
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id",
-         item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+         item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, keep_text: bool = True) -> DataFrame:
     """`documents` with n_words, n_hit, item_ids (ascending) and contaminated."""
-    parts = list(blocks(benchmark, item_id, item_text, block_chars))
-    if len(parts) <= 1:
-        return _scan(documents, text, parts[0] if parts else [], window, ranges=False)
+    total = benchmark.agg(F.sum(F.char_length(item_text))).first()[0] or 0
+    parts = blocks(benchmark, item_id, item_text, block_chars)
+    if total <= block_chars:
+        return _scan(documents, text, next(parts, []), window, ranges=False, keep_text=keep_text)
     own = documents.withColumn("_mr_key", F.xxhash64(text))
     hits = None
     for part in parts:
-        found = _scan(own.select(doc_id, "_mr_key", text), text, part, window, ranges=True).where("contaminated").drop(text)
+        found = cut(_scan(own.select(doc_id, "_mr_key", text), text, part, window, ranges=True, keep_text=False).where("contaminated"))
         hits = found if hits is None else hits.unionByName(found)
     per = hits.groupBy(doc_id, "_mr_key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
@@ -181,7 +184,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
         ),
     )["n"]
     per = per.select(F.col(doc_id).alias("_mr_id"), F.col("_mr_key").alias("_mr_k"), "item_ids", covered.alias("n_hit"))
-    counted = _scan(without(own, [f.name for f in FIELDS]), text, [], window, ranges=False).drop("n_hit", "item_ids", "contaminated")
+    counted = _scan(without(own, [f.name for f in FIELDS]), text, [], window, ranges=False, keep_text=keep_text).drop("n_hit", "item_ids", "contaminated")
     joined = counted.join(per, F.col(doc_id).eqNullSafe(F.col("_mr_id")) & F.col("_mr_key").eqNullSafe(F.col("_mr_k")), "left")
     return joined.withColumns({
         "n_hit": F.coalesce("n_hit", F.lit(0)),

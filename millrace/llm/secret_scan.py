@@ -6,7 +6,8 @@ embeds a checksum (the CRC-32 at the end of `gh?_` and `npm_` tokens) count only
 keyword; a fixed-length run pattern finds their starts.
 
 Kinds in order: assign, access, hex (the base kinds), then token (checksummed), key (private key blocks). Spans
-are code points, end exclusive. Null texts are empty; texts are scanned whole.
+are code points, end exclusive. Null texts are empty; texts are scanned whole. Repeated rows are scanned alike, matches of
+several kinds at one place all count.
 """
 
 from __future__ import annotations
@@ -96,14 +97,14 @@ def _spans(found: list[list[tuple[int, int, int]]]) -> pa.Array:
     return pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in row] for row in found], pa.list_(kind))
 
 
-def scan(df: DataFrame, text: str = "text", spans: str = "secret_spans") -> DataFrame:
-    """`df` with the array `spans` of (kind, start, end), by start, then kind."""
+def scan(df: DataFrame, text: str = "text", spans: str = "secret_spans", keep_text: bool = True) -> DataFrame:
+    """`df` with the array `spans` of (kind, start, end), by start, then kind; a column of that name is replaced."""
 
     def start():
         hits = automaton()
         return lambda column: [_spans([find(t or "", hits) for t in column.to_pylist()])]
 
-    return add_from_text(df, text, [T.StructField(spans, SPANS)], start)
+    return add_from_text(df, text, [T.StructField(spans, SPANS)], start, keep_text)
 
 
 def redacted(text: str, found: list[tuple[int, int, int]]) -> str:

@@ -51,3 +51,41 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [r.contaminated for r in decontaminate.scan(documents(spark, ["a b", None]), none).collect()] == [False, False]
     assert decontaminate.scan(documents(spark, []), none).count() == 0
+
+
+def test_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    import gc
+    import weakref
+
+    class Block(list):
+        __hash__ = object.__hash__
+
+    alive, most, scan, blocks = weakref.WeakSet(), [], decontaminate._scan, decontaminate.blocks
+
+    def counted(*a):
+        for part in blocks(*a):
+            block = Block(part)
+            alive.add(block)
+            del part
+            yield block
+            del block
+
+    def seen(df, text, items, *more, **options):
+        gc.collect()
+        most.append(sum(1 for _ in list(alive)))
+        return scan(df, text, list(items), *more, **options)
+
+    monkeypatch.setattr(decontaminate, "blocks", counted)
+    monkeypatch.setattr(decontaminate, "_scan", seen)
+    items = [(i, f"w{i} x{i} y{i} z{i}") for i in range(8)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontaminate.scan(documents(spark, ["a w3 x3 y3 z3", "none"]), bench, block_chars=20).collect()
+    assert [r.item_ids for r in sorted(rows, key=lambda r: r.doc_id)] == [[3], []]
+    assert len(most) > 4 and max(most) <= 2  # the one in hand, and the one that the loop is about to drop
+
+
+def test_long_repeated_and_clashing(spark):
+    long = "filler " * 200_000 + "a1 b2 c3 d4 e5 f6 g7 h8 i9 j0 " + "filler " * 10
+    docs = spark.createDataFrame([(1, long, "old"), (1, long, "old"), (2, "a1 b2", None)], "doc_id bigint, text string, N_hit string")
+    bench = spark.createDataFrame([(5, "a1 b2 c3 d4 e5 f6 g7 h8 i9 j0")], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in decontaminate.scan(docs, bench).collect()) == [(1, 200_020, 10, [5])] * 2 + [(2, 2, 0, [])]
