@@ -7,8 +7,12 @@ has no effect.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from millrace.operators import topk
 
@@ -103,6 +107,40 @@ def tagged(stream: DataFrame, tags: dict[str, Column]) -> DataFrame:
     return stream.withColumn("tag", tag)
 
 
+@dataclass(frozen=True)
+class Checkpoints:
+    """How often and where a stream keeps what it needs to go on after a failure; times in milliseconds.
+
+    Spark commits each micro-batch exactly once: there is no mode to choose, one batch is open at a time, and a failed
+    batch fails the query until `restarts` are used up (none by default). The interval is the trigger's.
+    """
+
+    folder: str
+    interval_ms: int = 10_000
+    kept_batches: int = 100
+    restarts: int = 0
+
+    def __post_init__(self):
+        if self.interval_ms < 0 or self.kept_batches < 1 or self.restarts < 0:
+            raise ValueError("negative checkpoint settings")
+
+    def start(self, writer: DataStreamWriter) -> StreamingQuery:
+        return writer.option("checkpointLocation", self.folder).trigger(processingTime=f"{self.interval_ms} milliseconds").start()
+
+    def run(self, spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+        """Runs to the end of the query; after a failure it starts again from its checkpoint, `restarts` times at most."""
+        spark.conf.set("spark.sql.streaming.minBatchesToRetain", str(self.kept_batches))
+        for left in range(self.restarts, -1, -1):
+            query = self.start(writer)
+            try:
+                query.awaitTermination()
+                return query
+            except StreamingQueryException:
+                if not left:
+                    raise
+        raise AssertionError("unreachable")
+
+
 def state_settings(spark: SparkSession, incremental: bool = True) -> None:
     """Disk-backed state; with `incremental`, checkpoints hold changes only."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -172,6 +172,69 @@ class Rising(Processor):
             self.drop("timer")
 
 
+class RisingNow(Processor):
+    """The rising alarm in processing time: for mode ProcessingTime.
+
+    A first rise starts a timer of `for_ms`; a fall deletes it and sets the count of rises to zero; equal values are
+    neutral. When it is due with a rise counted, the alarm goes out; the count stays, and the next rise starts a timer.
+    """
+
+    values = {"last": _DOUBLE, "rises": _LONG, "timer": _LONG}
+
+    def __init__(self, for_ms: int = 10_000):
+        self.for_ms = for_ms
+
+    def on_event(self, ms, seq, value, kind, timers):
+        if value is None:
+            return
+        last, timer = self.get("last"), self.get("timer")
+        self.put("last", value)
+        if last is None or value == last:
+            return
+        if value < last:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+                self.drop("timer")
+            self.put("rises", 0)
+            return
+        self.put("rises", self.get("rises", 0) + 1)
+        if timer is None:
+            due = timers.getCurrentProcessingTimeInMs() + self.for_ms
+            self.put("timer", due)
+            self.handle.registerTimer(due)
+
+    def on_timer(self, ms, timers):
+        if self.get("timer") == ms:
+            if self.get("rises", 0) >= 1:
+                self.emit(ALARM, ms, rises=self.get("rises"))
+            self.drop("timer")
+
+
+class Timed(Processor):
+    """The general keyed process function: passes each event on with the watermark, keeps its time, and registers timers; with `cancel`, an event deletes the timer before its own.
+
+    `after_ms` counts from the event's time in mode EventTime and from the clock in mode ProcessingTime; a firing tells its
+    time domain. One operator has one domain; a program that needs both runs two.
+    """
+
+    values = {"seen": _LONG, "timer": _LONG}
+
+    def __init__(self, after_ms: int = 10_000, domain: str = "EventTime", cancel: bool = False):
+        self.after, self.domain, self.cancel = after_ms, domain, cancel
+
+    def on_event(self, ms, seq, value, kind, timers):
+        self.emit(MAIN, ms, seq=seq, watermark=timers.getCurrentWatermarkInMs() if self.domain == "EventTime" else None)
+        self.put("seen", ms)
+        base = ms if self.domain == "EventTime" else timers.getCurrentProcessingTimeInMs()
+        if self.cancel and (old := self.get("timer")) is not None:
+            self.handle.deleteTimer(old)
+        self.put("timer", base + self.after)
+        self.handle.registerTimer(base + self.after)
+
+    def on_timer(self, ms, timers):
+        self.emit(TIMEOUT, ms, domain=self.domain, seen=self.get("seen"))
+
+
 class CountWindow(Processor):
     """A tumbling count window: at every `size`-th event, its first event and the sum."""
 
@@ -249,6 +312,23 @@ class Counter(Processor):
         self.emit(MAIN, ms, n=n, length=len(kind or ""))
 
 
+class RestoredCounter(Processor):
+    """Counts a key's events from what earlier tasks had counted: several restored counts, as after a change of parallelism, are added up.
+
+    Initial state: rows (key, n), any number a key, given to `run` as `restored`.
+    """
+
+    values = {"n": _LONG}
+
+    def handleInitialState(self, key, initialState, timerValues):
+        self.put("n", self.get("n", 0) + int(initialState["n"].sum()))
+
+    def on_event(self, ms, seq, value, kind, timers):
+        n = self.get("n", 0) + 1
+        self.put("n", n)
+        self.emit(MAIN, ms, n=n, length=len(kind or ""))
+
+
 class KindCounts(Processor):
     """Counts a key's events by kind, in map state."""
 
@@ -269,17 +349,80 @@ class LateRouter(Processor):
         self.emit(LATE if ms < timers.getCurrentWatermarkInMs() else MAIN, ms, seq=seq)
 
 
+#: What a trigger may ask for: nothing, a result, a result and an empty window, an empty window.
+CONTINUE, FIRE, FIRE_AND_PURGE, PURGE = "continue", "fire", "fire_and_purge", "purge"
+
+
+class Trigger:
+    """When windows fire. This one fires on every event and on processing-time timers, and not when the watermark passes the end.
+
+    `every_ms`: a processing-time timer that far after a window's first event, and again after each firing; None sets none.
+    """
+
+    every_ms: int | None = None
+
+    def on_event(self, ms: int, value: float | None, n: int) -> str:
+        """`n`: events in the window, this one included."""
+        return FIRE
+
+    def on_processing_time(self, n: int) -> str:
+        return FIRE
+
+    def on_event_time(self, n: int) -> str:
+        return CONTINUE
+
+
+class CountTrigger(Trigger):
+    """Fires at every `n`-th event of a window and empties it."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def on_event(self, ms, value, n):
+        return FIRE_AND_PURGE if n >= self.n else CONTINUE
+
+
+class EndTrigger(Trigger):
+    """Fires once, when the watermark passes the window's end, and empties it."""
+
+    def on_event(self, ms, value, n):
+        return CONTINUE
+
+    def on_event_time(self, n):
+        return FIRE_AND_PURGE
+
+
+class EveryTrigger(Trigger):
+    """Fires at processing-time intervals."""
+
+    def __init__(self, every_ms: int):
+        self.every_ms = every_ms
+
+    def on_event(self, ms, value, n):
+        return CONTINUE
+
+
+_WINDOW = T.StructType([
+    T.StructField("n", T.LongType()), T.StructField("sum", T.DoubleType()), T.StructField("first", T.LongType()), T.StructField("second", T.LongType()),
+    T.StructField("first_value", T.DoubleType()), T.StructField("due", T.LongType()),
+])
+
+
 class TriggeredWindow(Processor):
-    """Event-time windows of `size_ms` every `slide_ms` that fire on every event and, for good, when the watermark passes the end plus `lateness_ms`.
+    """Event-time windows of `size_ms` every `slide_ms` that fire as their trigger says, until the watermark passes the end plus `lateness_ms`.
 
-    Before computing, one event, the first, is evicted if a window holds more than `most`. Events whose windows have
-    all closed go to the late side output.
+    Before computing, one event, the first, is evicted if a window holds more than `most`. A window's state is its count,
+    its sum and its first two events, so an event costs the same however many came before. Events whose windows have
+    all closed go to the late side output. One operator has one time mode: processing-time timers need a trigger with
+    `every_ms` and run in mode ProcessingTime, where windows close with the first event or timer after their time.
     """
 
-    lists = {"rows": _EVENT}
+    def __init__(self, size_ms: int = 10_000, slide_ms: int = 5_000, lateness_ms: int = 1_000, most: int = 5, trigger: Trigger | None = None):
+        self.size, self.slide, self.lateness, self.most, self.trigger = size_ms, slide_ms, lateness_ms, most, trigger or Trigger()
 
-    def __init__(self, size_ms: int = 10_000, slide_ms: int = 5_000, lateness_ms: int = 1_000, most: int = 5):
-        self.size, self.slide, self.lateness, self.most = size_ms, slide_ms, lateness_ms, most
+    def init(self, handle):
+        super().init(handle)
+        self.windows = handle.getMapState("windows", _LONG, _WINDOW)
 
     def starts(self, ms: int) -> list[int]:
         last = ms - ms % self.slide
@@ -291,24 +434,44 @@ class TriggeredWindow(Processor):
         if not live:
             self.emit(LATE, ms, seq=seq)
             return
-        rows = [tuple(r) for r in self.held["rows"].get()] + [(ms, seq, value, kind)]
-        self.held["rows"].put(rows)
         for s in sorted(live):
-            self.handle.registerTimer(s + self.size + self.lateness)
-            self.fire(rows, s)
-
-    def fire(self, rows, start):
-        window = [r for r in rows if start <= r[0] < start + self.size]
-        if len(window) > self.most:
-            window = window[1:]
-        self.emit(MAIN, start + self.size, first=window[0][1], n=len(window), sum=sum(r[2] or 0.0 for r in window))
+            there = tuple(self.windows.getValue((s,))) if self.windows.containsKey((s,)) else None
+            n, total, first, second, first_value, due = there or (0, 0.0, seq, None, value or 0.0, None)
+            if there is None or due is None:
+                due = self.set_timers(s, timers)
+            second = seq if n == 1 else second
+            self.apply(s, (n + 1, total + (value or 0.0), first, second, first_value, due), self.trigger.on_event(ms, value, n + 1))
+
+    def set_timers(self, start: int, timers) -> int | None:
+        """A processing-time timer is kept with the window; event-time ones are at its end and at its close."""
+        if self.trigger.every_ms is not None:
+            due = timers.getCurrentProcessingTimeInMs() + self.trigger.every_ms
+            self.handle.registerTimer(due)
+            return due
+        self.handle.registerTimer(start + self.size)
+        self.handle.registerTimer(start + self.size + self.lateness)
+        return start + self.size
+
+    def apply(self, start: int, window: tuple, asked: str) -> None:
+        n, total, first, second, first_value, due = window
+        if asked in (FIRE, FIRE_AND_PURGE) and n:
+            out = n > self.most
+            self.emit(MAIN, start + self.size, first=second if out else first, n=n - out, sum=total - first_value if out else total)
+        if asked in (PURGE, FIRE_AND_PURGE):
+            self.windows.removeKey((start,))
+        else:
+            self.windows.updateValue((start,), window)
 
     def on_timer(self, ms, timers):
-        kept = [tuple(r) for r in self.held["rows"].get() if max(self.starts(r[0])) + self.size + self.lateness > ms]
-        if kept:
-            self.held["rows"].put(kept)
-        else:
-            self.drop("rows")
+        now = timers.getCurrentWatermarkInMs()
+        for (start,), window in [((int(k[0]),), tuple(v)) for k, v in self.windows.iterator()]:
+            closed = start + self.size + self.lateness <= (ms if self.trigger.every_ms is None else now)
+            if self.trigger.every_ms is not None and window[-1] == ms:
+                self.apply(start, (*window[:-1], None if closed else self.set_timers(start, timers)), self.trigger.on_processing_time(window[0]))
+            elif self.trigger.every_ms is None and start + self.size == ms:
+                self.apply(start, window, self.trigger.on_event_time(window[0]))
+            if closed and self.windows.containsKey((start,)):
+                self.windows.removeKey((start,))
 
 
 class Consecutive(Processor):
@@ -391,11 +554,13 @@ class Reconciler(Processor):
         self.drop("left", "right", "due")
 
 
-def run(stream: DataFrame, key: str, processor: Processor, time_mode: str = "EventTime", output_mode: str = "append", event_time: str = "", echo: str = "") -> DataFrame:
+def run(stream: DataFrame, key: str, processor: Processor, time_mode: str = "EventTime", output_mode: str = "append", event_time: str = "", echo: str = "",
+        restored: DataFrame | None = None) -> DataFrame:
     """`processor` over `stream` by `key`. The stream has ts (with a watermark), seq, value and kind; the RocksDB state store must be set.
 
     event_time: the output column (ts) by which windows may follow. echo: "kind" adds each event's kind to its payload.
+    restored: rows (key, ...) of state saved earlier, for processors that take an initial state.
     """
     processor.echo = echo
     events = stream.selectExpr(f"CAST({key} AS STRING) AS _key", "ts", "CAST(seq AS BIGINT) AS seq", "CAST(value AS DOUBLE) AS value", "CAST(kind AS STRING) AS kind")
-    return events.groupBy("_key").transformWithStateInPandas(processor, OUTPUT, output_mode, time_mode, None, event_time)
+    return events.groupBy("_key").transformWithStateInPandas(processor, OUTPUT, output_mode, time_mode, None if restored is None else restored.withColumnRenamed("key", "_key").groupBy("_key"), event_time)

@@ -95,3 +95,24 @@ def test_tags_and_duplicates(spark, tmp_path):
     assert len(collect(jobs.deduplicated(stream, ["user_id", "item_id", "behavior", "ts"], "1 day"), tmp_path)) == len(set(rows))
     tags = jobs.tagged(df, {"buy": F.col("behavior") == "buy", "low": F.col("item_id") < 2})
     assert {r.tag for r in tags.select("tag").distinct().collect()} == {"buy", "low", "main"}
+
+
+def test_checkpoint_settings(spark, tmp_path):
+    with pytest.raises(ValueError, match="negative"):
+        jobs.Checkpoints("x", -1)
+    lines = T.StructType([T.StructField("value", T.StringType())])
+    stream = stream_of(spark, [[("a b",)]], lines, tmp_path / "in")
+    seen = []
+
+    def fails_once(df, batch):
+        seen.append(batch)
+        if len(seen) == 1:
+            raise RuntimeError("lost")
+        spark.streams.active[0].stop()
+
+    tuned = jobs.Checkpoints(str(tmp_path / "c"), interval_ms=100, kept_batches=7, restarts=1)
+    tuned.run(spark, stream.writeStream.foreachBatch(fails_once))
+    assert seen == [0, 0] and spark.conf.get("spark.sql.streaming.minBatchesToRetain") == "7"
+    seen.clear()
+    with pytest.raises(Exception, match="lost"):
+        jobs.Checkpoints(str(tmp_path / "d"), interval_ms=100).run(spark, stream.writeStream.foreachBatch(fails_once))

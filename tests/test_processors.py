@@ -117,3 +117,66 @@ def test_counts_by_kind_in_map_state(spark, tmp_path):
     data = [("a", at(i), i, 0.0, k) for i, k in enumerate("xyxxy")]
     rows = run(spark, tmp_path, p.KindCounts(), [data[:2], data[2:]])
     assert [(o[2]["kind"], o[2]["n"]) for o in outputs(rows)] == [("x", 1), ("y", 1), ("x", 2), ("x", 3), ("y", 2)]
+
+
+def test_trigger_results(spark, tmp_path):
+    data = events([1] * 7)
+    rows = run(spark, tmp_path, p.TriggeredWindow(10_000, 10_000, 1_000, 5, p.CountTrigger(3)), [data[:4], data[4:]])
+    assert [(o[2]["first"], o[2]["n"]) for o in outputs(rows, p.MAIN)] == [(0, 3), (3, 3)]  # fired and emptied; the seventh waits
+    rows = run(spark, tmp_path / "b", p.TriggeredWindow(10_000, 10_000, 1_000, 5, p.EndTrigger()), [data[:4], data[4:], [FAR], [FAR]])
+    assert [(o[2]["first"], o[2]["n"], o[2]["sum"]) for o in outputs(rows, p.MAIN) if o[0] == "a"] == [(1, 6, 6)]
+
+
+class Purging(p.Trigger):
+    def on_event(self, ms, value, n):
+        return p.PURGE if value > 5 else p.FIRE
+
+
+def test_purge_empties_without_a_result(spark, tmp_path):
+    rows = run(spark, tmp_path, p.TriggeredWindow(10_000, 10_000, 1_000, 5, Purging()), [events([1, 2, 9, 3])])
+    assert [(o[2]["first"], o[2]["n"], o[2]["sum"]) for o in outputs(rows, p.MAIN)] == [(0, 1, 1), (0, 2, 3), (3, 1, 3)]
+
+
+def in_processing_time(spark, tmp_path, processor, rows, seconds):
+    """Outputs of a stream that is left running for some seconds after its rows."""
+    import time
+    import uuid
+
+    stream = stream_of(spark, rows, EVENT, tmp_path / "in").withWatermark("ts", "0 seconds")
+    name = "t" + uuid.uuid4().hex
+    query = p.run(stream, "key", processor, "ProcessingTime").writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
+    began = time.time()
+    while time.time() - began < 90 and not any(r["numInputRows"] for r in query.recentProgress):
+        time.sleep(0.2)
+    time.sleep(seconds)
+    query.stop()
+    if query.exception():
+        raise query.exception()
+    return spark.table(name).collect()
+
+
+def test_processing_time_trigger(spark, tmp_path):
+    rows = in_processing_time(spark, tmp_path, p.TriggeredWindow(10_000, 10_000, 1_000, 5, p.EveryTrigger(1_000)), [events([1, 2, 3])], 6)
+    fired = [(o[2]["first"], o[2]["n"], o[2]["sum"]) for o in outputs(rows, p.MAIN)]
+    assert fired and set(fired) == {(0, 3, 6)}
+
+
+def test_rising_alarm_in_processing_time(spark, tmp_path):
+    rows = in_processing_time(spark, tmp_path, p.RisingNow(1_000), [events([1, 2, 2, 3]) + events([1, 2, 1], "b")], 6)
+    assert [(o[0], o[2]["rises"]) for o in outputs(rows, p.ALARM)] == [("a", 2)]
+
+
+def test_timers_of_both_domains(spark, tmp_path):
+    rows = run(spark, tmp_path, p.Timed(10_000), [events([1, 2]), [FAR], [FAR]])
+    assert [o[2] for o in outputs(rows, p.TIMEOUT) if o[0] == "a"] == [{"domain": "EventTime", "seen": ms(1)}] * 2
+    rows = run(spark, tmp_path / "b", p.Timed(10_000, cancel=True), [events([1, 2]), [FAR], [FAR]])
+    assert len([o for o in outputs(rows, p.TIMEOUT) if o[0] == "a"]) == 1
+    rows = in_processing_time(spark, tmp_path / "c", p.Timed(500, "ProcessingTime"), [events([1])], 5)
+    assert [o[2]["domain"] for o in outputs(rows, p.TIMEOUT)] == ["ProcessingTime"]
+
+
+def test_restored_counts_are_added_up(spark, tmp_path):
+    restored = spark.createDataFrame([("a", 5), ("a", 7), ("b", 1)], "key string, n bigint")
+    stream = stream_of(spark, [events([1]), events([2])], EVENT, tmp_path / "in").withWatermark("ts", "0 seconds")
+    rows = collect(p.run(stream, "key", p.RestoredCounter(), restored=restored), tmp_path)
+    assert [o[2]["n"] for o in outputs(rows)] == [13, 14]
