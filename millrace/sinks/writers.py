@@ -9,7 +9,8 @@ ids for that.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 from pyspark.sql import DataFrame
@@ -75,8 +76,18 @@ def upsert_sql(table: str, columns: list[str], keys: list[str], dialect: str = "
     return head + f" ON CONFLICT ({', '.join(keys)}) DO " + ("UPDATE SET " + ", ".join(f"{c} = excluded.{c}" for c in rest) if rest else "NOTHING")
 
 
-def upsert_batch(table: str, keys: list[str], options: dict, dialect: str = "mysql", size: int = 200) -> Callable[[DataFrame, int], None]:
-    """Client: a DB-API connection (cursor, commit, close); a commit for each group of `size` rows."""
+def last_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key in the given order; partial maxima go before the exchange, so a hot key sends a row a task."""
+    rows = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns if c not in keys]), F.struct(*order)).alias("_row"))
+    return rows.select(*keys, "_row.*").select(*df.columns)
+
+
+def upsert_batch(table: str, keys: list[str], options: dict, dialect: str = "mysql", size: int = 200, order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """Client: a DB-API connection (cursor, commit, close); a commit for each group of `size` rows.
+
+    With `order`, only each key's last row in that order is written. Without it every row is, the rows of a key in the
+    order in which the batch holds them.
+    """
 
     def each(df: DataFrame, batch_id: int) -> None:
         columns = df.columns
@@ -87,6 +98,9 @@ def upsert_batch(table: str, keys: list[str], options: dict, dialect: str = "mys
             cursor.executemany(sql, [tuple(r[c] for c in columns) for r in group])
             client.commit()
 
+        if order:
+            last_of_each(df, keys, order).foreachPartition(_partition_writer(options, size, write))
+            return
         # rows of a key go to one task in the batch's order: no two transactions wait for each other, and the last row stays
         placed = df.withColumn("_mr_at", F.monotonically_increasing_id()).repartition(*keys).sortWithinPartitions("_mr_at")
         placed.select(*columns).foreachPartition(_partition_writer(options, size, write))
@@ -120,33 +134,61 @@ def search_batch(index: str, options: dict, id_column: str | None = None, size:
     return each
 
 
-def changelog_batch(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def changelog_batch(path: str, keys: list[str], order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
     """Turns the upserts of update mode into change rows under `path`: op +I, -U and +U, with the values.
 
-    The last values of each key are read back from the changes written so far; a repeated batch writes nothing new.
+    Beside the changes, each batch writes the last values of all keys under `path`/last, which is all that the next one
+    reads; older ones are deleted once a newer one is whole. A repeated batch reads what its first run read and writes
+    the same. `order` tells the last of several rows of a key in a batch; without it a key has one row a batch, as in
+    update mode, and more are an error.
     """
 
     def each(df: DataFrame, batch_id: int) -> None:
-        spark, out = df.sparkSession, f"{path}/batch_id={batch_id}"
+        spark, out, state = df.sparkSession, f"{path}/batch_id={batch_id}", f"{path}/last"
         values = [c for c in df.columns if c not in keys]
-        earlier = [f for f in _batches(spark, path) if f < batch_id]
-        new = df.dropDuplicates(keys)
-        if not earlier:
-            changes = new.select(F.lit("+I").alias("op"), *df.columns)
+        earlier = [b for b in _batches(spark, state) if b < batch_id]
+        if order:
+            new = last_of_each(df, keys, order)
         else:
-            past = spark.read.parquet(*[f"{path}/batch_id={b}" for b in earlier]).where("op != '-U'")
-            numbered = past.withColumn("_b", F.regexp_extract(F.input_file_name(), r"batch_id=(\d+)", 1).cast("bigint"))
-            last = numbered.groupBy(*keys).agg(F.max_by(F.struct(*values), "_b").alias("_old"))
-            both = new.join(last, keys, "left").withColumn("_new", F.struct(*values))
-            changed = both.where("_old IS NULL OR NOT (_old <=> _new)")
-            entry = lambda op, row: F.struct(F.lit(op).alias("op"), row.alias("v"))
-            rows = F.when(F.col("_old").isNull(), F.array(entry("+I", F.col("_new")))).otherwise(F.array(entry("-U", F.col("_old")), entry("+U", F.col("_new"))))
-            changes = changed.select(*keys, F.explode(rows).alias("c")).select("c.op", *keys, *[F.col(f"c.v.{v}").alias(v) for v in values]).select("op", *df.columns)
-        changes.write.mode("overwrite").parquet(out)
+            one = F.when(F.count("*") == 1, F.first(F.struct(*values))).otherwise(F.raise_error(F.lit("several rows of a key without an order")).cast(df.select(F.struct(*values).alias("v")).schema["v"].dataType))
+            new = df.groupBy(*keys).agg(one.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+        old = spark.read.parquet(f"{state}/batch_id={earlier[-1]}") if earlier else df.limit(0)
+        there = old.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*values).alias("_old"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        both = new.select(*keys, F.struct(*values).alias("_new")).join(there, same, "full_outer")
+        key = [F.when(F.col("_new").isNull(), F.col(f"_k{i}")).otherwise(F.col(k)).alias(k) for i, k in enumerate(keys)]
+        both = both.select(*key, "_new", "_old")
+        both.select(*keys, F.coalesce("_new", "_old").alias("v")).select(*keys, *[F.col(f"v.{v}").alias(v) for v in values]).select(*df.columns).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        changed = both.where("_new IS NOT NULL AND (_old IS NULL OR NOT (_old <=> _new))")
+        entry = lambda op, row: F.struct(F.lit(op).alias("op"), row.alias("v"))
+        rows = F.when(F.col("_old").isNull(), F.array(entry("+I", F.col("_new")))).otherwise(F.array(entry("-U", F.col("_old")), entry("+U", F.col("_new"))))
+        changes = changed.select(*keys, F.explode(rows).alias("c")).select("c.op", *keys, *[F.col(f"c.v.{v}").alias(v) for v in values])
+        changes.select("op", *df.columns).write.mode("overwrite").parquet(out)
+        for number in earlier[:-1]:
+            _delete(spark, f"{state}/batch_id={number}")
 
     return each
 
 
+def _delete(spark, path: str) -> None:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def push_lines(lines: Iterable[str], topic: str, producer, delay: float = 0.0) -> int:
+    """Sends lines in turn through an injected producer (`send(topic, value)` gives a future whose `get()` waits for the acknowledgement); how many went.
+
+    For tests and trials: one line at a time, each acknowledged before the next, `delay` seconds apart.
+    """
+    sent = 0
+    for line in lines:
+        producer.send(topic, line.rstrip("\r\n")).get()
+        sent += 1
+        if delay:
+            time.sleep(delay)
+    return sent
+
+
 def _batches(spark, path: str) -> list[int]:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)

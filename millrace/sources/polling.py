@@ -21,7 +21,10 @@ def client_of(options: dict):
 
 
 class _Poll(SimpleDataSourceStreamReader):
-    """One poll a trigger; what a poll gave is kept until it is committed, for replay."""
+    """One poll a trigger; what a poll gave is kept until it is committed.
+
+    After a restart nothing is kept, and a range of offsets is read again as one query between its ends: `replay`.
+    """
 
     def __init__(self, options: dict):
         self.options, self.given = options, {}
@@ -32,6 +35,10 @@ class _Poll(SimpleDataSourceStreamReader):
     def poll(self, start: dict) -> tuple[list[tuple], str]:
         raise NotImplementedError
 
+    def replay(self, start: dict, end: dict) -> list[tuple]:
+        """What lies between two offsets; sources that keep no history give what they hold now, once."""
+        return self.poll(start)[0]
+
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         found, after = self.poll(start)
         end = {"poll": start["poll"] + 1, "after": after}
@@ -39,21 +46,46 @@ class _Poll(SimpleDataSourceStreamReader):
         return iter(found), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for n in range(start["poll"], end["poll"]):
-            yield from self.given.get(n) or self.poll(start)[0]
+        wanted = range(start["poll"], end["poll"])
+        if all(n in self.given for n in wanted):
+            return iter([row for n in wanted for row in self.given[n]])
+        return iter(self.replay(start, end) if wanted else [])
 
     def commit(self, end: dict) -> None:
         self.given = {k: v for k, v in self.given.items() if k >= end["poll"]}
 
 
 class TablePoll(_Poll):
+    def order(self, row: tuple) -> tuple:
+        """Numbers by size, before texts by their characters; null is before all."""
+        value = row[int(self.options.get("incremental_index", 0))]
+        return ordered(value)
+
     def poll(self, start):
         client, column = client_of(self.options), self.options.get("incremental")
         if column is None:
             return [tuple(r) for r in client.query(self.options["query"], None)], ""
         found = [tuple(r) for r in client.query(self.options["query"], start["after"] or None)]
         at = int(self.options.get("incremental_index", 0))
-        return found, str(max((r[at] for r in found), default=start["after"]))
+        return found, str(max(found, key=self.order)[at]) if found else start["after"]
+
+    def replay(self, start, end):
+        found = self.poll(start)[0]
+        if self.options.get("incremental") is None:
+            return found
+        if not end["after"] or end["after"] == start["after"]:
+            return []
+        return [r for r in found if self.order(r) <= ordered(end["after"])]
+
+
+def ordered(value) -> tuple:
+    """A key that orders values, and offsets written as text, alike."""
+    if value is None or value == "":
+        return (0, 0, "")
+    try:
+        return (1, float(value), "")
+    except (TypeError, ValueError):
+        return (2, 0, str(value))
 
 
 class PollingTable(DataSource):

@@ -123,6 +123,76 @@ def test_changelog(spark, tmp_path):
     assert got == [[("+I", "a", 1), ("+I", "b", 1)], [("-U", "a", 1), ("+U", "a", 2)], [("-U", "a", 2), ("+U", "a", 3), ("+I", "c", 1)]]
 
 
+def test_ordered_upserts_keep_the_last_row_whatever_the_partitions(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "db.sqlite") as con:
+        con.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT, v INTEGER)")
+    rows = [(i % 4, f"{(i * 7919) % 400:03}", (i * 7919) % 400) for i in range(400)]
+    each = writers.upsert_batch("t", ["id"], {"client": "tests.fakes:sqlite", "dir": str(tmp_path)}, "sqlite", 7, order=["v"])
+    each(spark.createDataFrame(rows, "id int, name string, v int").repartition(5), 0)
+    with sqlite3.connect(tmp_path / "db.sqlite") as con:
+        assert con.execute("SELECT id, name, v FROM t ORDER BY id").fetchall() == [(k, *max((n, v) for i, n, v in rows if i == k)) for k in range(4)]
+
+
+def test_a_changelog_reads_the_last_values_only(spark, tmp_path):
+    each = writers.changelog_batch(str(tmp_path / "log"), ["k"], order=["n"])
+    make = lambda rows: spark.createDataFrame(rows, "k string, n int").repartition(3)
+    each(make([("a", 1), ("a", 5), (None, 2)]), 0)
+    each(make([("b", 1)]), 1)
+    each(make([("a", 7), ("a", 6), (None, 2)]), 2)
+    read = lambda i: sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/log/batch_id={i}").collect()), key=str)
+    assert read(0) == [("+I", "a", 5), ("+I", None, 2)] and read(2) == [("+U", "a", 7), ("-U", "a", 5)]
+    assert sorted(x.name for x in (tmp_path / "log/last").glob("batch_id=*")) == ["batch_id=1", "batch_id=2"]  # older ones are gone
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/log/last/batch_id=2").collect()} == {("a", 7), ("b", 1), (None, 2)}
+    each(make([("a", 7), ("a", 6), (None, 2)]), 2)  # a repeated batch gives the same
+    assert read(2) == [("+U", "a", 7), ("-U", "a", 5)]
+    with pytest.raises(Exception, match="several rows of a key"):
+        writers.changelog_batch(str(tmp_path / "other"), ["k"])(make([("a", 1), ("a", 2)]), 0)
+
+
+class Rows:
+    """A table whose polls are counted; `after` selects what a real query would."""
+
+    polls = 0
+    rows = [(9, "i"), (10, "j"), (11, "k"), (12, "l")]
+
+    def query(self, sql, after):
+        Rows.polls += 1
+        return [r for r in self.rows if after is None or r[0] > int(after)]
+
+
+def client(options):
+    return Rows()
+
+
+def test_a_restarted_poll_gives_each_row_once():
+    options = {"client": "tests.test_connectors:client", "query": "q", "incremental": "id"}
+    first = polling.TablePoll(options)
+    rows, one = first.read(first.initialOffset())
+    assert len(list(rows)) == 4 and one == {"poll": 1, "after": "12"}
+    start, end = {"poll": 0, "after": "9"}, {"poll": 3, "after": "11"}  # three polls were planned before the restart
+    Rows.polls = 0
+    assert list(polling.TablePoll(options).readBetweenOffsets(start, end)) == [(10, "j"), (11, "k")] and Rows.polls == 1
+    assert list(polling.TablePoll(options).readBetweenOffsets(start, {"poll": 2, "after": "9"})) == []
+    full = polling.TablePoll({"client": "tests.test_connectors:client", "query": "q"})
+    assert len(list(full.readBetweenOffsets({"poll": 0, "after": ""}, {"poll": 2, "after": ""}))) == 4
+
+
+def test_offsets_order_numbers_by_size():
+    assert sorted(["10", 9, "b", None, "a", "2.5"], key=polling.ordered) == [None, "2.5", 9, "10", "a", "b"]
+
+
+def test_lines_are_pushed_in_turn_and_acknowledged():
+    log = []
+
+    class Producer:
+        def send(self, topic, value):
+            log.append(("send", topic, value))
+            return type("Future", (), {"get": lambda self: log.append(("ack", value))})()
+
+    assert writers.push_lines(["a\n", "b\r\n", ""], "t", Producer()) == 3
+    assert log == [("send", "t", "a"), ("ack", "a"), ("send", "t", "b"), ("ack", "b"), ("send", "t", ""), ("ack", "")]
+
+
 def test_config(tmp_path):
     (tmp_path / "c.yml").write_text("top: 3\nhot:\n  topic: clicks\n  window: 60\n  color: red\n")
     got = config.load(str(tmp_path / "c.yml"), "hot")
