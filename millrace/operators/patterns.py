@@ -6,8 +6,13 @@ strings. A pattern must end strictly within its interval.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _span(text: str) -> Column:
@@ -30,8 +35,9 @@ def followed_by(df: DataFrame, key: str, order: list[str], first: Column, then:
     stand between. Unmatched events carry the time at which they time out.
     """
     carry = carry or {}
-    ahead = Window.partitionBy(key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    later = F.first(F.when(then, F.struct(F.col(ts).alias("ts"), *[F.col(c) for c in carry])), ignorenulls=True).over(ahead)
+    # from the last event back: the frame then only grows, and a key of n events takes n steps
+    ahead = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.last(F.when(then, F.struct(F.col(ts).alias("ts"), *[F.col(c) for c in carry])), ignorenulls=True).over(ahead)
     opened = df.withColumn("_then", later).where(first)
     inside = F.coalesce(F.col("_then.ts") < F.col(ts) + _span(within), F.lit(False))
     kept = lambda name: F.when(inside, F.col(f"_then.{name}"))
@@ -76,14 +82,48 @@ def rising_runs(df: DataFrame, key: str, order: list[str], value: str, at_least:
     return out.where(F.col("first_rise") + _span(at_least) <= F.col("last_ts")).drop("_run")
 
 
-def limited(df: DataFrame, keys: list[str], order: list[str], most: int, keep_dropped: bool = False) -> DataFrame:
+def limited(df: DataFrame, keys: list[str], order: list[str], most: int, keep_dropped: bool = False, reset: timedelta | None = None, ts: str = "ts") -> DataFrame:
     """`df` with `click_no` and `tag`: pass for the first `most` rows of a key and alarm for the next one.
 
-    The rest goes before the exchange, so that a hot key sends at most `most` + 1 rows a task; with `keep_dropped` it
-    stays, tagged drop, and a key's rows all meet in one task.
+    With `reset`, a key's count starts anew with its first row at or after that time since the count's first row
+    (`order` must then begin with `ts`; rows without a time count together). Periods follow from one another, so a key's
+    rows are numbered in one ordered pass, in Arrow batches of bounded size. Without `reset` the count goes on for ever;
+    rows beyond the limit then go before the exchange, so that a hot key sends at most `most` + 1 rows a task; with
+    `keep_dropped` they stay, tagged drop.
     """
     numbered = df.withColumn("click_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if reset is not None:
+        numbered = _by_period(numbered, reset, ts)
     if not keep_dropped:
         numbered = numbered.where(F.col("click_no") <= most + 1)
     tag = F.when(F.col("click_no") <= most, "pass").when(F.col("click_no") == most + 1, "alarm").otherwise("drop")
     return numbered.withColumn("click_no", F.col("click_no").cast("bigint")).withColumn("tag", tag)
+
+
+def _by_period(numbered: DataFrame, reset: timedelta, ts: str) -> DataFrame:
+    """`click_no` counted within periods; rows come by key and in order, each key's first with number 1."""
+    span, never = reset // timedelta(microseconds=1), -(1 << 62)
+    timed = numbered.withColumn("_micros", F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(never)))
+    schema = T.StructType([*[f for f in numbered.schema.fields if f.name != "click_no"], T.StructField("click_no", T.IntegerType())])
+
+    def run(batches):
+        start, count = 0, 0  # of the open period
+        for batch in batches:
+            number, at = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("click_no", "_micros"))
+            out = number.astype(np.int32)
+            firsts = np.flatnonzero(number == 1)
+            bounds = np.unique(np.concatenate(([0], firsts, [len(number)])))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if number[a] == 1:
+                    start, count = int(at[a]), 0
+                while a < b:
+                    if at[a] >= start + span:
+                        start, count = int(at[a]), 0
+                    end = b if at[b - 1] < start + span else a + int(np.searchsorted(at[a:b], start + span))
+                    out[a:end] = np.arange(count + 1, count + 1 + end - a)
+                    count += end - a
+                    a = end
+            kept = [batch.column(batch.schema.get_field_index(f.name)) for f in schema.fields[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out)], names=schema.names)
+
+    return timed.mapInArrow(run, schema)

@@ -23,6 +23,26 @@ def hop(df: DataFrame, keys: list[str], size: str, slide: str, aggs: list[Column
     return _grouped(df, keys, F.window(ts, size, slide), aggs)
 
 
+def hop_sums(df: DataFrame, keys: list[str], size: str, slide: str, sums: dict[str, Column], ts: str = "ts") -> DataFrame:
+    """Sliding windows of sums by panes: rows are added up once a slide, and the panes, not the rows, are then dealt to the windows they lie in.
+
+    `slide` divides `size`; a count is the sum of ones.
+    """
+    pane = df.groupBy(*keys, F.window(ts, slide)["start"].alias("_pane")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    first = F.col("_pane") - F.expr(f"INTERVAL '{size}'") + F.expr(f"INTERVAL '{slide}'")
+    dealt = pane.withColumn("window_start", F.explode(F.sequence(first, F.col("_pane"), F.expr(f"INTERVAL '{slide}'"))))
+    out = dealt.groupBy(*keys, "window_start").agg(*[F.sum(n).alias(n) for n in sums])
+    return out.select(*keys, "window_start", (F.col("window_start") + F.expr(f"INTERVAL '{size}'")).alias("window_end"), *sums)
+
+
+def averages_text(df: DataFrame, key: str, size: str, value: str, ts: str = "ts", bounds: bool = False) -> DataFrame:
+    """(key, window_end, info): a full window's average as text; with `bounds`, the window's edges in milliseconds too. Nulls are passed over, nothing gives 0."""
+    out = tumble(df, [key], size, [F.avg(value).alias("_avg")], ts)
+    edges = F.format_string(", Window [%d,%d]", *[F.unix_millis(F.col(c).cast("timestamp")) for c in ("window_start", "window_end")]) if bounds else F.lit("")
+    text = F.concat(F.lit("Key: "), F.col(key).cast("string"), edges, F.lit(", AvgTemp: "), F.coalesce("_avg", F.lit(0.0)).cast("string"))
+    return out.select(key, "window_end", text.alias("info"))
+
+
 def _grouped(df: DataFrame, keys: list[str], window: Column, aggs: list[Column]) -> DataFrame:
     out = df.groupBy(*keys, window.alias("window")).agg(*aggs)
     return out.select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[c for c in out.columns if c not in (*keys, "window")])
@@ -57,6 +77,16 @@ def sliding_count(df: DataFrame, keys: list[str], order: list[str], size: int, s
     return framed.where(F.col("firing") % slide == 0).withColumn("firing", (F.col("firing") / slide).cast("bigint"))
 
 
+def behind_watermark(df: DataFrame, keys: list[str], order: list[str], delay: str, ts: str = "ts") -> DataFrame:
+    """`df` with `mark`, the watermark as each row of a key arrives (the latest time so far less `delay`), and `late`, whether the row is behind it.
+
+    A batch replay of what a stream would call late; without keys all rows are ordered in one task, for small inputs.
+    """
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = df.withColumn("mark", F.max(ts).over(so_far) - F.expr(f"INTERVAL '{delay}'"))
+    return marked.withColumn("late", F.col(ts) < F.col("mark"))
+
+
 def evicted(rows: Column, most: int = 5) -> Column:
     """A window's ordered rows after eviction: one row, the first, goes if there are more than `most`."""
     return F.when(F.size(rows) > most, F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(1)))).otherwise(rows)

@@ -6,14 +6,19 @@ the item, address or key. Orders of rows end in event_id, so that results do not
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import records, udfs
 from millrace.operators import aggregates, partitioning, patterns, topk, windows
+from millrace.operators.spread import scratch
 from millrace.plans.window_sql import spark_sql
+from millrace.sinks import writers
+from millrace.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,7 +58,7 @@ SELECT window_end, item_id, view_count, row_number() OVER (PARTITION BY window_e
 FROM counts QUALIFY row_num <= 5""")
 def hot_items_top5(spark, sf_dir):
     views = events(spark, sf_dir, "view").select("ts", F.col("user_id").alias("item_id"))
-    counts = windows.hop(views, ["item_id"], "1 hour", "5 minutes", [F.count("*").alias("view_count")])
+    counts = windows.hop_sums(views, ["item_id"], "1 hour", "5 minutes", {"view_count": F.lit(1).cast("bigint")})
     ranked = topk.top_rows(counts, ["window_end"], [F.desc("view_count"), "item_id"], 5)
     return ranked.select("window_end", "item_id", "view_count", F.col("row_num").cast("bigint").alias("row_num"))
 
@@ -93,7 +98,14 @@ def pv_uv_sql(spark, sf_dir):
 GROUPED = """
 counts AS (SELECT date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, user_id % 7 AS province, user_id AS ad, count(*) AS n FROM {source} GROUP BY ALL)
 SELECT window_end, province, sum(n)::BIGINT AS total, string_agg(ad || '=' || n, ',' ORDER BY n DESC, ad) AS ads FROM counts GROUP BY ALL"""
-LIMITED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS click_no FROM events WHERE event_type = 'click')"
+#: A count starts with a key's first click, and anew with the first one 24 hours later or more.
+LIMITED = """RECURSIVE clicks AS (SELECT * FROM events WHERE event_type = 'click'),
+starts AS (
+  SELECT user_id, event_type, min(ts) AS start FROM clicks GROUP BY ALL UNION ALL
+  SELECT s.user_id, s.event_type, min(c.ts) AS start FROM starts AS s JOIN clicks AS c ON c.user_id = s.user_id AND c.event_type = s.event_type AND c.ts >= s.start + INTERVAL 24 HOURS GROUP BY ALL),
+numbered AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.user_id, c.event_type, s.start ORDER BY c.ts, c.event_id) AS click_no
+  FROM clicks AS c ASOF JOIN starts AS s ON c.user_id = s.user_id AND c.event_type = s.event_type AND c.ts >= s.start)"""
 
 
 def _by_province(clicks: DataFrame) -> DataFrame:
@@ -119,29 +131,45 @@ def ad_clicks_by_province_sql(spark, sf_dir):
         FROM mr_ad_counts GROUP BY window_end, province""")
 
 
-@query(f"WITH {LIMITED}, " + GROUPED.format(source="numbered WHERE click_no <= 10"))
+LIMIT = 2
+
+
+def _limited(spark, sf_dir) -> DataFrame:
+    """Clicks tagged by a limit of LIMIT in 24 hours and key: low enough that the given tables reach it."""
+    clicks = events(spark, sf_dir, "click").select("event_id", "ts", "user_id", "event_type")
+    return patterns.limited(clicks, ["user_id", "event_type"], ORDER, LIMIT, reset=timedelta(hours=24))
+
+
+@query(f"WITH {LIMITED}, " + GROUPED.format(source=f"numbered WHERE click_no <= {LIMIT}"))
 def ad_clicks_limited_by_province(spark, sf_dir):
-    return _by_province(patterns.limited(events(spark, sf_dir, "click"), ["user_id", "event_type"], ORDER, 10).where("tag = 'pass'"))
+    return _by_province(_limited(spark, sf_dir).where("tag = 'pass'"))
 
 
-@query(f"WITH {LIMITED} SELECT event_id, user_id, click_no FROM numbered WHERE click_no <= 10")
+@query(f"WITH {LIMITED} SELECT event_id, user_id, click_no FROM numbered WHERE click_no <= {LIMIT}")
 def ad_click_limited(spark, sf_dir):
-    return patterns.limited(events(spark, sf_dir, "click"), ["user_id", "event_type"], ORDER, 10).where("tag = 'pass'").select("event_id", "user_id", "click_no")
+    return _limited(spark, sf_dir).where("tag = 'pass'").select("event_id", "user_id", "click_no")
 
 
-@query(f"WITH {LIMITED} SELECT user_id, event_type AS ad, ts AS alarm_ts FROM numbered WHERE click_no = 11")
+@query(f"WITH {LIMITED} SELECT user_id, event_type AS ad, ts AS alarm_ts FROM numbered WHERE click_no = {LIMIT + 1}")
 def ad_click_alarm(spark, sf_dir):
-    tagged = patterns.limited(events(spark, sf_dir, "click"), ["user_id", "event_type"], ORDER, 10)
-    return tagged.where("tag = 'alarm'").select("user_id", F.col("event_type").alias("ad"), F.col("ts").alias("alarm_ts"))
+    return _limited(spark, sf_dir).where("tag = 'alarm'").select("user_id", F.col("event_type").alias("ad"), F.col("ts").alias("alarm_ts"))
+
+
+@query("""
+WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS click_no FROM events WHERE event_type = 'click')
+SELECT event_id, user_id, click_no FROM numbered WHERE click_no <= 10""")
+def ad_click_limited_for_ever(spark, sf_dir):
+    """The limit without a reset, which keeps a few rows a key and task before the exchange."""
+    return patterns.limited(events(spark, sf_dir, "click"), ["user_id", "event_type"], ORDER, 10).where("tag = 'pass'").select("event_id", "user_id", "click_no")
 
 
 @query(f"""
-WITH {LIMITED}, hops AS (SELECT *, time_bucket(INTERVAL 5 MINUTES, ts) + to_minutes(5 * (k + 1)::BIGINT) AS window_end FROM numbered, range(12) r(k) WHERE click_no <= 10)
-SELECT window_end, user_id % 7 AS province, count(*) AS clicks FROM hops GROUP BY ALL""")
+WITH {LIMITED}, panes AS (SELECT time_bucket(INTERVAL 5 SECONDS, ts) AS pane, user_id % 7 AS province, count(*) AS n FROM numbered WHERE click_no <= {LIMIT} GROUP BY ALL)
+SELECT pane + to_seconds(5 * (k + 1)::BIGINT) AS window_end, province, sum(n)::BIGINT AS clicks FROM panes, range(720) r(k) GROUP BY ALL""")
 def page_ad_clicks(spark, sf_dir):
-    kept = patterns.limited(events(spark, sf_dir, "click"), ["user_id", "event_type"], ORDER, 10).where("tag = 'pass'")
-    placed = kept.select("ts", (F.col("user_id") % 7).alias("province"))
-    return windows.hop(placed, ["province"], "1 hour", "5 minutes", [F.count("*").alias("clicks")]).drop("window_start")
+    """An hour's clicks by province, anew every five seconds."""
+    placed = _limited(spark, sf_dir).where("tag = 'pass'").select("ts", (F.col("user_id") % 7).alias("province"))
+    return windows.hop_sums(placed, ["province"], "1 hour", "5 seconds", {"clicks": F.lit(1).cast("bigint")}).drop("window_start")
 
 
 @query("SELECT date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, user_id % 4 AS channel, event_type AS behavior, count(*) AS n FROM events GROUP BY ALL")
@@ -158,8 +186,11 @@ WITH {HITS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY ip, window_end
 SELECT ip, window_end, max(hits)::BIGINT AS hits, string_agg(url || '=' || n, ',' ORDER BY rn) AS urls FROM ranked WHERE rn <= 5 GROUP BY ALL""")
 def hot_urls_top5_per_key(spark, sf_dir):
     hits = events(spark, sf_dir).select("ts", F.col("event_type").alias("ip"), F.col("props").alias("url"))
-    out = aggregates.counts_by(hits, [F.window("ts", "1 hour", "30 minutes").alias("window"), "ip"], "url").withColumn("pairs", F.slice("pairs", 1, 5))
-    return out.select("ip", F.col("window.end").alias("window_end"), F.col("total").alias("hits"), joined_pairs("pairs").alias("urls"))
+    counts = windows.hop_sums(hits, ["ip", "url"], "1 hour", "30 minutes", {"n": F.lit(1).cast("bigint")})
+    by = Window.partitionBy("ip", "window_end")
+    ranked = counts.withColumns({"rank": F.row_number().over(by.orderBy(F.desc("n"), "url")), "hits": F.sum("n").over(by)}).where("rank <= 5")
+    pairs = F.transform(F.sort_array(F.collect_list(F.struct("rank", "url", "n"))), lambda p: F.concat_ws("=", p["url"], p["n"]))
+    return ranked.groupBy("ip", "window_end").agg(F.max("hits").alias("hits"), F.array_join(pairs, ",").alias("urls"))
 
 
 @query("""
@@ -468,3 +499,124 @@ def session_sql(spark, sf_dir):
 @query("SELECT event_id, user_id, value FROM events WHERE user_id = 7")
 def select_where(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", "user_id", "value").where(F.col("user_id") == 7)
+
+
+DAILY_AVERAGE = "SELECT user_id, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, avg(user_id + 0.5::DOUBLE) AS a, epoch_ms(date_trunc('day', ts)) AS s FROM events GROUP BY user_id, date_trunc('day', ts)"
+
+
+@query(f"SELECT user_id, window_end, 'Key: ' || user_id || ', AvgTemp: ' || a AS info FROM ({DAILY_AVERAGE})")
+def window_average_text(spark, sf_dir):
+    """Full-window average as text, without the window; the averaged value is exact in both engines."""
+    return windows.averages_text(events(spark, sf_dir).withColumn("v", F.col("user_id") + 0.5), "user_id", "1 day", "v")
+
+
+@query(f"SELECT user_id, window_end, 'Key: ' || user_id || ', Window [' || s || ',' || (s + 86400000) || '], AvgTemp: ' || a AS info FROM ({DAILY_AVERAGE})")
+def window_average_text_with_bounds(spark, sf_dir):
+    return windows.averages_text(events(spark, sf_dir).withColumn("v", F.col("user_id") + 0.5), "user_id", "1 day", "v", bounds=True)
+
+
+@query("SELECT (event_id % 1000)::INTEGER AS id, event_type AS name, (user_id % 50) + 0.5::DOUBLE AS temperature, epoch_us(ts) // 1000 AS time FROM events")
+def observations_parsed(spark, sf_dir):
+    lines = F.concat_ws(",", F.col("event_id") % 1000, "event_type", (F.col("user_id") % 50) + 0.5, F.unix_millis(F.col("ts").cast("timestamp")))
+    return records.parse_csv(events(spark, sf_dir).select(lines.alias("value")), records.OBSERVATION, millis=True).drop("ts")
+
+
+def _seconds() -> Column:
+    return F.unix_seconds(F.col("ts").cast("timestamp"))
+
+
+SECONDS = "1000 * epoch(date_trunc('second', ts))::BIGINT AS time"
+
+
+@query(f"SELECT user_id, event_id AS ad_id, event_type AS province, event_type || '-city' AS city, {SECONDS} FROM events")
+def ad_clicks_parsed(spark, sf_dir):
+    lines = F.concat_ws(",", "user_id", "event_id", "event_type", F.concat("event_type", F.lit("-city")), _seconds())
+    return records.parse_csv(events(spark, sf_dir).select(lines.alias("value")), records.AD_CLICK).drop("ts")
+
+
+@query(f"SELECT user_id, '10.0.0.' || event_id AS ip, event_type AS status, {SECONDS} FROM events")
+def logins_parsed(spark, sf_dir):
+    lines = F.concat_ws(",", "user_id", F.concat(F.lit("10.0.0."), "event_id"), "event_type", _seconds())
+    return records.parse_csv(events(spark, sf_dir).select(lines.alias("value")), records.LOGIN).drop("ts")
+
+
+@query(f"SELECT event_id AS order_id, event_type AS status, CASE WHEN event_type = 'purchase' THEN 'p' || event_id ELSE '' END AS payment_id, {SECONDS} FROM events")
+def orders_parsed(spark, sf_dir):
+    """Empty payment ids stay empty."""
+    payment = F.when(F.col("event_type") == "purchase", F.concat(F.lit("p"), "event_id")).otherwise("")
+    lines = F.concat_ws(",", "event_id", "event_type", payment, _seconds())
+    return records.parse_csv(events(spark, sf_dir).select(lines.alias("value")), records.ORDER).drop("ts")
+
+
+@query(f"SELECT 'p' || event_id AS payment_id, event_type AS channel, {SECONDS} FROM events")
+def receipts_parsed(spark, sf_dir):
+    lines = F.concat_ws(",", F.concat(F.lit("p"), "event_id"), "event_type", _seconds())
+    return records.parse_csv(events(spark, sf_dir).select(lines.alias("value")), records.RECEIPT).drop("ts")
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE trim(word) != '' GROUP BY word")
+def word_count_by_single_spaces(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select(F.col("text").alias("value"))
+    return records.tokens(lines, " ").groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE upper(event_type) WHEN 'PV' THEN 'pv' WHEN 'BUY' THEN 'buy' WHEN 'CART' THEN 'cart' WHEN 'FAV' THEN 'fav' END AS behavior FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'PV' WHEN 1 THEN ' ' WHEN 2 THEN 'BUY' WHEN 3 THEN 'CART' WHEN 4 THEN 'FAV' ELSE 'LOOK' END AS event_type FROM events)")
+def behavior_names(spark, sf_dir):
+    """Actions by their names; blank and unknown ones are null."""
+    names = F.element_at(F.array(*[F.lit(n) for n in ("PV", " ", "BUY", "CART", "FAV", "LOOK")]), (F.col("event_id") % 6 + 1).cast("int"))
+    return events(spark, sf_dir).select("event_id", records.behavior_by_name(names).alias("behavior"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_type = 'error'")
+def partition_global(spark, sf_dir):
+    """A small result in one task."""
+    return partitioning.in_one(events(spark, sf_dir, "error").select("user_id")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("""
+WITH e AS (SELECT *, max(ts) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) - INTERVAL 12 HOURS AS mark FROM events WHERE user_id % 20 = 3)
+SELECT event_id, user_id, ts < mark AS late FROM e""")
+def late_events(spark, sf_dir):
+    """Events in order of arrival, told late or not by a watermark 12 hours behind: what a stream's side output gets."""
+    own = events(spark, sf_dir).where("user_id % 20 = 3").select("event_id", "user_id", "ts")
+    return windows.behind_watermark(own, [], ["event_id"], "12 hours").select("event_id", "user_id", "late")
+
+
+@query("""
+WITH e AS (SELECT *, max(ts) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) - INTERVAL 12 HOURS AS mark FROM events),
+w AS (SELECT *, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end FROM e)
+SELECT event_type, window_end, count(*) FILTER (mark < window_end) AS on_time, count(*) FILTER (mark >= window_end AND mark < window_end + INTERVAL 6 HOURS) AS refining,
+  count(*) FILTER (mark >= window_end + INTERVAL 6 HOURS) AS dropped FROM w GROUP BY ALL""")
+def lateness_by_window(spark, sf_dir):
+    """Of each key's daily windows: rows on time, rows that refine a fired window within the allowed lateness, rows too late."""
+    placed = windows.behind_watermark(events(spark, sf_dir).select("event_type", "event_id", "ts"), ["event_type"], ["event_id"], "12 hours")
+    end, allowed = F.window("ts", "1 day")["end"], F.expr("INTERVAL '6 hours'")
+    rows = placed.select("event_type", "mark", end.alias("window_end"))
+    return rows.groupBy("event_type", "window_end").agg(
+        F.count_if(F.col("mark") < F.col("window_end")).alias("on_time"),
+        F.count_if((F.col("mark") >= F.col("window_end")) & (F.col("mark") < F.col("window_end") + allowed)).alias("refining"),
+        F.count_if(F.col("mark") >= F.col("window_end") + allowed).alias("dropped"),
+    )
+
+
+@query("SELECT event_id, user_id, event_type, round(value, 3) AS value FROM events")
+def csv_round_trip(spark, sf_dir):
+    """The CSV sink, read back by the CSV table source with its declared schema."""
+    path = f"{scratch(spark)}/csv-{uuid.uuid4().hex}"
+    own = events(spark, sf_dir).select("event_id", "user_id", "event_type", F.round("value", 3).alias("value"))
+    writers.csv_files(own, path)
+    return readers.csv_table(spark, path, own.schema)
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 = 0")
+def text_lines_round_trip(spark, sf_dir):
+    """Lines of text files, parsed."""
+    path = f"{scratch(spark)}/lines-{uuid.uuid4().hex}"
+    events(spark, sf_dir).where("event_id % 3 = 0").select(F.concat_ws(",", "event_id", "user_id", "event_type").alias("value")).write.text(path)
+    return readers.from_csv_values(readers.text_lines(spark, path), records.schema("event_id bigint, user_id bigint, event_type string"))
+
+
+@query("SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
+def upserted_last_rows(spark, sf_dir):
+    """What an ordered upsert of all events leaves: each key's last row."""
+    return writers.last_of_each(events(spark, sf_dir).select("user_id", "event_type", "ts", "event_id"), ["user_id"], ORDER).drop("event_id")

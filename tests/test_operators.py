@@ -1,5 +1,7 @@
 """Hand-derived answers for the operators."""
 
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -123,3 +125,68 @@ def test_window_sql():
     assert rewrite("hop(ts, INTERVAL '5' MINUTE, INTERVAL '1' HOUR)") == "window(ts, '1 hour', '5 minute')"
     assert rewrite("SESSION_START(t.ts, INTERVAL '5' SECOND)") == "session_window(t.ts, '5 second').start"
     assert rewrite("SELECT hop FROM shop") == "SELECT hop FROM shop"
+
+
+def test_a_limit_starts_anew_a_day_after_the_first_click(spark):
+    """Ten pass, the eleventh alarms; the next day counts from the first click at or after 24 hours."""
+    hours = [0, *[1] * 11, 23, 24, 25, *[26] * 9, 47, 48, 49]
+    rows = [(1, at(3600 * h), i) for i, h in enumerate(hours)] + [(2, at(3600 * 24), 100), (2, None, 101), (2, None, 102)]
+    clicks = spark.createDataFrame(rows, "u int, ts timestamp, seq int").repartition(4)
+    got = {r.seq: (r.click_no, r.tag) for r in patterns.limited(clicks, ["u"], ["ts", "seq"], 10, True, timedelta(hours=24)).collect()}
+    want, start, n = {}, None, 0
+    for i, h in enumerate(hours):
+        if start is None or h >= start + 24:
+            start, n = h, 0
+        n += 1
+        want[i] = (n, "pass" if n <= 10 else "alarm" if n == 11 else "drop")
+    assert {k: v for k, v in got.items() if k < 100} == want
+    assert [got[k][0] for k in (101, 102, 100)] == [1, 2, 1]
+    assert max(v[0] for v in want.values()) == 13 and [k for k, v in want.items() if v[0] == 1] == [0, 13, 25]
+
+
+def test_periods_over_many_batches(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), at(rng.randrange(900_000)), i) for i in range(3000)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.seq: r.click_no for r in patterns.limited(spark.createDataFrame(rows, "u int, ts timestamp, seq int"), ["u"], ["ts", "seq"], 3, True, timedelta(days=1)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    state = {}
+    for u, t, i in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        start, n = state.get(u, (None, 0))
+        if start is None or t >= start + timedelta(days=1):
+            start, n = t, 0
+        state[u] = (start, n + 1)
+        assert got[i] == n + 1
+
+
+def test_followed_by_grows_with_its_rows(spark):
+    rows = spark.range(60_000).select(F.lit(1).alias("k"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, "create").otherwise("pay").alias("s"))
+    began = time.time()
+    out = patterns.followed_by(rows, "k", ["ts", "seq"], F.col("s") == "create", F.col("s") == "pay", "10 seconds")
+    assert out.where("matched AND then_ts = first_ts + INTERVAL '1 second'").count() == 30_000
+    assert time.time() - began < 20  # a frame computed anew for each row takes minutes
+
+
+def test_panes_give_the_windows_that_rows_give(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(3), at(rng.randrange(4000)), rng.random()) for _ in range(200)] + [(1, None, 1.0)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp, v double")
+    got = windows.hop_sums(df, ["k"], "10 minutes", "2 minutes", {"n": F.lit(1), "s": F.col("v")})
+    want = windows.hop(df, ["k"], "10 minutes", "2 minutes", [F.sum(F.lit(1)).alias("n"), F.sum("v").alias("s")])
+    key = lambda r: (r.k, r.window_start, r.window_end, r.n, round(r.s, 9))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_average_as_text(spark):
+    df = spark.createDataFrame([(1, at(0), 1.5), (1, at(5), 2.5), (1, at(12), None)], "id int, ts timestamp, t double")
+    assert [r.info for r in windows.averages_text(df, "id", "10 seconds", "t").orderBy("window_end").collect()] == ["Key: 1, AvgTemp: 2.0", "Key: 1, AvgTemp: 0.0"]
+    assert windows.averages_text(df, "id", "10 seconds", "t", bounds=True).orderBy("window_end").first().info == "Key: 1, Window [1577836800000,1577836810000], AvgTemp: 2.0"
+
+
+def test_late_rows_of_a_replay(spark):
+    rows = [(0, at(0)), (1, at(100)), (2, at(97)), (3, at(99)), (4, at(50))]
+    out = windows.behind_watermark(spark.createDataFrame(rows, "n int, ts timestamp"), [], ["n"], "2 seconds").orderBy("n").collect()
+    assert [r.late for r in out] == [False, False, True, False, True]
