@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Distinct pieces and characters that a worker's table holds before it starts anew.
-TABLE_PIECES, TABLE_CHARS = 400_000, 8_000_000
+TABLE_PIECES, TABLE_CHARS = 800_000, 16_000_000
 
 
 class PieceTable:

@@ -178,10 +178,14 @@ class WordEncoder(TextEncoder):
             raise ValueError("a word's last id does not end a word")
         if len(words) == len(pieces):
             return flat, np.diff(ends, prepend=0)
-        others = iter(self.tokenizer.encode_batch_fast([x for x, p in zip(pieces, plain, strict=True) if not p], add_special_tokens=False))
-        cut = iter(np.split(flat, ends[:-1]) if words else ())
-        parts = [next(cut) if p else np.array(next(others).ids, np.int32) for p in plain]
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        rest = flattened([e.ids for e in self.tokenizer.encode_batch_fast([x for x, p in zip(pieces, plain, strict=True) if not p], add_special_tokens=False)])
+        mask = np.array(plain)
+        lengths = np.zeros(len(pieces), np.int64)
+        lengths[mask], lengths[~mask] = np.diff(ends, prepend=0), rest[1]
+        out = np.zeros(int(lengths.sum()), np.int32)
+        of_words = np.repeat(mask, lengths)
+        out[of_words], out[~of_words] = flat, rest[0]
+        return out, lengths
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         whole = pa.compute.match_substring_regex(texts, self.added) if self.added else pa.array(np.zeros(len(texts), bool))
