@@ -8,6 +8,7 @@ those can't say it, the stateful processors.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def _events(df: DataFrame, value: Column, kind: Column, ooo: str) -> DataFrame:
 
 
 def ads_by_province(lines: DataFrame, c: JobConfig) -> dict[str, DataFrame]:
-    """Clicks by province and ad, less those beyond a user's limit for an ad; alarms aside."""
+    """Clicks by province and ad, less those beyond a user's limit for an ad in 24 hours; alarms aside."""
     most = int(c.extra.get("limit", 10))
     clicks = records.parse_csv(lines, records.AD_CLICK)
     if lines.isStreaming:
@@ -54,7 +55,7 @@ def ads_by_province(lines: DataFrame, c: JobConfig) -> dict[str, DataFrame]:
         rows = tagged.select("tag", "ts", F.get(parts, 0).cast("bigint").alias("user_id"), F.get(parts, 1).cast("bigint").alias("ad_id"), F.get_json_object("payload", "$.kind").alias("province"))
     else:
         numbered = clicks.withColumn("seq", F.monotonically_increasing_id())
-        rows = patterns.limited(numbered, ["user_id", "ad_id"], ["ts", "seq"], most).withColumn("tag", F.when(F.col("tag") == "pass", processors.MAIN).otherwise(F.col("tag")))
+        rows = patterns.limited(numbered, ["user_id", "ad_id"], ["ts", "seq"], most, reset=timedelta(hours=24)).withColumn("tag", F.when(F.col("tag") == "pass", processors.MAIN).otherwise(F.col("tag")))
     kept = rows.where(F.col("tag") == processors.MAIN).select("ts", "province", "ad_id")
     size = F.window("ts", _seconds(c.window))
     if lines.isStreaming:
