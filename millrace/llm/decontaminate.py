@@ -12,8 +12,8 @@ counts for each of them. Items with a null id hit words but are not listed; repe
 
 The benchmark goes to the executors in blocks of at most BLOCK_CHARS characters (or one item). Its size is summed in
 the cluster first: a benchmark of one block is broadcast in one pass over the documents; a larger one takes a pass a
-block, each held and dropped before the next is fetched, and the hits, kept as checkpoints, are joined per distinct
-(id, text). Repeated documents are judged alike; columns named as a result are replaced.
+block, each held and dropped before the next is fetched, and the hits, kept as checkpoints, are kept once and joined
+per distinct (id, text). Repeated documents are judged alike; columns named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     own = documents.withColumn("_mr_key", F.xxhash64(text))
     hits = None
     for part in parts:
-        found = cut(_scan(own.select(doc_id, "_mr_key", text), text, part, window, ranges=True, keep_text=False).where("contaminated"))
+        found = cut(_scan(own.select(doc_id, "_mr_key", text), text, part, window, ranges=True, keep_text=False).where("contaminated").dropDuplicates([doc_id, "_mr_key"]))
         hits = found if hits is None else hits.unionByName(found)
     per = hits.groupBy(doc_id, "_mr_key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),

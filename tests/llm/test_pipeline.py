@@ -7,16 +7,17 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import byte_bpe, decontaminate, secret_scan, weak_labels
+from millrace.llm import byte_bpe, decontaminate
+from tests.llm.test_secret_scan import plain_redaction
 from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_weak_labels import plain_scores
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_run_equals_brute_force(spark):
     docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id)
-    accepted = {r.doc_id for r in weak_labels.score(spark.read.parquet(f"{SF}/documents.parquet")).where("quality_ok").collect()}
-    kept = [r for r in docs if r.doc_id in accepted]
+    kept = [r for r, (_, _, ok) in zip(docs, plain_scores([r.text or "" for r in docs])) if ok]
     ids = [r.doc_id for r in kept]
     first = set(plain_components(ids, [plain_fingerprint(r.text) for r in kept]))
     kept = [r for r in kept if r.doc_id in first]
@@ -32,8 +33,7 @@ def test_run_equals_brute_force(spark):
         return not any(tuple(w[i : i + m]) in windows for m in sizes for i in range(len(w) - m + 1))
 
     kept = [r for r in kept if clean(r.text)]
-    hits = secret_scan.automaton()
-    texts = {r.doc_id: secret_scan.redacted(r.text or "", secret_scan.find(r.text or "", hits)) for r in kept}
+    texts = {r.doc_id: plain_redaction(r.text or "") for r in kept}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(byte_bpe.VOCABULARY), "rb"))}
     theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
@@ -48,3 +48,15 @@ def test_stages_return_the_columns_of_documents(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_nulls_repeated_rows_and_clashing_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = max(corpus_pipeline.run(spark, SF).collect(), key=lambda r: r.n_chars)
+    row = docs.where(docs.doc_id == good.doc_id).first()
+    odd = [(None, None, None, None, None), (None, row.text, None, None, None), (-1, None, "en", None, 3), (-2, "", None, "r", None), (-3, " \n", "en", "r", 0), (row.doc_id, row.text, None, None, None)]
+    more = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({"component_id": F.lit(1), "quality_ok": F.lit("x"), "n_hit": F.lit(None).cast("int")})
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(None, None)], "item_id bigint, text string")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert got.count(row.doc_id) == 1 and None not in got and min(got) >= 0 and len(got) == len(set(got)) > 50

@@ -24,6 +24,24 @@ def brute(text):
     return sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(rules) for m in re.finditer(p, text) if ok(m))
 
 
+def plain_spans(text):
+    """All kinds by plain search; key blocks without lines of other form in them."""
+    tokens = [(m.start(), 3, m.end()) for m in re.finditer(r"(?:gh[pousr]|npm)_[0-9A-Za-z]{36}(?![0-9A-Za-z])", text) if secret_scan.checksum(m[0][4:34]) == m[0][34:]]
+    keys = [(m.start(), 4, m.end()) for m in re.finditer(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z0-9 ]*PRIVATE KEY-----)?", text)]
+    return sorted([*brute(text), *tokens, *keys])
+
+
+def plain_redaction(text):
+    """Each union of overlapping spans gives way to the kind of its first, from the last one back."""
+    groups = []
+    for span in plain_spans(text):
+        meets = [g for g in groups if any(a < span[2] and span[0] < b for a, _, b in g)]
+        groups = [g for g in groups if g not in meets] + [sum(meets, []) + [span]]
+    for g in sorted(groups, reverse=True):
+        text = text[: min(g)[0]] + f"<{secret_scan.KINDS[min(g)[1]]}>" + text[max(b for _, _, b in g) :]
+    return text
+
+
 piece = st.sampled_from(["password", "token", "Secret", "api", "_", "key", "=", ":", " ", '"', "AKIA", "A1", "abcdef01" * 3, "\u017f", "\u00e9", "z", "."])
 
 
@@ -61,3 +79,6 @@ def test_redaction(spark):
     out = secret_scan.redact(docs).orderBy("doc_id")
     assert out.columns == docs.columns
     assert [r.text for r in out.collect()] == [None, "", "plain", "a <assign> b", "k <token>"]
+    texts = [*(t for t in ODD if t), *SECRETS, *noise(4), "token = " + "0123456789abcdef" * 3 + " " + TOKEN, "secret=" + TOKEN]
+    out = secret_scan.redact(documents(spark, texts)).orderBy("doc_id")
+    assert [r.text for r in out.collect()] == [plain_redaction(t) for t in texts]

@@ -136,13 +136,11 @@ def plain_em(patterns, counts, rounds=300):
     return post
 
 
-def test_score_equals_a_plain_model(spark):
-    texts = texts_of(SMALL)
-    rows = sorted(weak_labels.score(documents(spark, texts), keep_text=False).collect(), key=lambda r: r.doc_id)
+def plain_scores(texts):
+    """(posterior of bad, score, accepted) of each text: the same scorer, feature by feature."""
     read = [weak_labels.Reading(t) for t in texts]
     patterns = sorted({r.votes for r in read})
     post = dict(zip(patterns, plain_em(patterns, [sum(r.votes == p for r in read) for p in patterns])))
-    assert [1 - r.quality_posterior for r in rows] == pytest.approx([post[r.votes] for r in read], abs=1e-4)
     goal, w, seen = [1 - post[r.votes] for r in read], {}, {}
     found = [{**r.features(), "bias": 1.0} for r in read]
     logistic = lambda x: 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
@@ -156,8 +154,17 @@ def test_score_equals_a_plain_model(spark):
             s = slope[b] + 1e-5 * w.get(b, 0.0)
             seen[b] = seen.get(b, 1e-8) + s * s
             w[b] = w.get(b, 0.0) - 0.5 * s / math.sqrt(seen[b])
-    assert [r.quality_score for r in rows] == pytest.approx([logistic(sum(w[b] * v for b, v in f.items())) for f in found], abs=1e-3)
-    assert [r.quality_ok for r in rows] == [bool(r.n) and q.quality_score >= 0.5 for r, q in zip(read, rows)]
+    scores = [logistic(sum(w[b] * v for b, v in f.items())) for f in found]
+    return [(post[r.votes], s, bool(r.n) and s >= 0.5) for r, s in zip(read, scores)]
+
+
+def test_score_equals_a_plain_model(spark):
+    texts = texts_of(SMALL)
+    rows = sorted(weak_labels.score(documents(spark, texts), keep_text=False).collect(), key=lambda r: r.doc_id)
+    want = plain_scores(texts)
+    assert [1 - r.quality_posterior for r in rows] == pytest.approx([p for p, _, _ in want], abs=1e-4)
+    assert [r.quality_score for r in rows] == pytest.approx([s for _, s, _ in want], abs=1e-3)
+    assert [r.quality_ok for r in rows] == [ok for _, _, ok in want]
 
 
 def test_no_single_vote_decides(spark):
