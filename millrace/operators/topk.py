@@ -17,13 +17,17 @@ def top_values(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
     return top_rows(some, keys, [F.desc(value)], k, "rank")
 
 
-def top_of_window(counts: DataFrame, size_in: str, item: str, count: str, k: int) -> DataFrame:
+def top_of_window(counts: DataFrame, size_in: str, item: str, count: str, k: int, parts: int = 32) -> DataFrame:
     """Streaming form over window counts: (window_end, items) with the k largest (count, item), largest first.
 
-    `counts` has a `window` column; `size_in` is the slide of those windows, at which their ends are told apart.
+    `counts` has a `window` column; `size_in` is the slide of those windows, at which their ends are told apart. A
+    window's items are first dealt to `parts` groups, each of which passes its k largest on: no task gets them all.
     """
     pair = F.struct(F.col(count).alias("count"), F.col(item).alias("item"))
-    by_end = counts.groupBy(F.window(F.window_time("window"), size_in).alias("w")).agg(F.slice(F.sort_array(F.collect_list(pair), asc=False), 1, k).alias("items"))
+    largest = lambda pairs: F.slice(F.sort_array(pairs, asc=False), 1, k).alias("items")
+    part = F.pmod(F.xxhash64(item), F.lit(parts)).alias("part")
+    by_part = counts.groupBy(F.window(F.window_time("window"), size_in).alias("p"), part).agg(largest(F.collect_list(pair)))
+    by_end = by_part.groupBy(F.window(F.window_time("p"), size_in).alias("w")).agg(largest(F.flatten(F.collect_list("items"))))
     return by_end.select(F.col("w.end").alias("window_end"), "items")
 
 

@@ -75,6 +75,19 @@ def test_patterns_on_readings(readings):
     assert [r.temperature for r in topk.top_values(readings, ["id"], "temperature", 2).where("id = 1").orderBy("rank").collect()] == [99.1, 55.1]
 
 
+def test_truncating_sum_by_batches_equals_the_fold(spark):
+    rows = [(k, i, v) for k in (None, 1, 2, 7) for i, v in enumerate([0.9, -3.7, 12.25, 0.5, -0.5, 1.99, -40.01, 33.3] * 9)] + [(9, 0, None), (8, 0, -1.5)]
+    df = spark.createDataFrame(rows, "id int, seq int, v double").repartition(3)
+    got, want = (sorted(map(str, f(df, "id", ["seq"], "v").collect())) for f in (aggregates.truncating_sum_by_batches, aggregates.truncating_sum))
+    assert got == want and len(got) == 5
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)  # keys then span batches
+    try:
+        assert sorted(map(str, aggregates.truncating_sum_by_batches(df, "id", ["seq"], "v").collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert aggregates.truncating_sum_by_batches(df.limit(0), "id", ["seq"], "v").count() == 0
+
+
 def test_login_failures(spark):
     rows = [(1, "fail", at(0), 0), (1, "fail", at(1), 1), (1, "success", at(2), 2), (1, "fail", at(3), 3), (1, "fail", at(6), 4), (2, "fail", at(0), 5)]
     df = spark.createDataFrame(rows, "user_id int, status string, ts timestamp, seq int")
